@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lattica.llm import jaccard, langid, mixing, pivots, sharding, toxicity
+from lattica.llm import decontaminate, jaccard, langid, mixing, pivots, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_pivots": pivots.op8_pivots,
     "op9_langid": langid.op9_langid,
 }
