@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, jaccard, langid, mixing, pivots, sharding, toxicity
+from lattica.llm import decontaminate, hmm, jaccard, langid, mixing, pivots, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_hmm": hmm.op2_hmm,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
