@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import id_hash
+from lattica.llm.common import id_hash, small_join
 
 
-def labelled_sample(rows: DataFrame, most_chars: int, most_classes: int = 256) -> dict:
+def labelled_sample(rows: DataFrame, most_chars: int, most_classes: int = 256, labels: DataFrame | None = None) -> dict:
     """Whole texts by label: {label: [(fold 0 to 9, text)]}.
 
-    rows has (doc_id, label, text). Per label, documents come by id hash until
-    about most_chars characters are expected; a label with fewer gives all its
-    texts. The driver holds at most most_classes labels, the most frequent
-    ones. Null labels and texts are left out.
+    rows has (doc_id, label, text), or (doc_id, text) with (doc_id, label) in
+    labels. Per label, documents come by id hash until about most_chars
+    characters are expected; a label with fewer gives all its texts. The
+    driver holds at most most_classes labels, the most frequent ones. Null
+    labels and texts are left out. Labels meet lengths first; texts are only
+    joined with the picked ids, whose number the characters bound.
     """
-    rows = rows.where("label is not null and text is not null").withColumn("h", id_hash(F.col("doc_id"), 40))
-    sums = rows.groupBy("label").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "label").limit(most_classes).collect()
+    h = id_hash(F.col("doc_id"), 40)
+    slim = rows.where("text is not null").select("doc_id", F.length("text").alias("n"), *(["label"] if labels is None else []))
+    slim = (slim if labels is None else slim.join(labels, "doc_id")).where("label is not null")
+    sums = slim.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(most_classes).collect()
     picked = F.lit(False)
     for r in sums:
         part = min(1.0, most_chars / max(1, r["n"]))
-        picked = picked | ((F.col("label") == F.lit(r["label"])) & (F.col("h") < int(part * (1 << 40)) + (part == 1.0)))
+        picked = picked | ((F.col("label") == F.lit(r["label"])) & (h < int(part * (1 << 40)) + (part == 1.0)))
     found: dict = {r["label"]: [] for r in sums}
-    for r in rows.where(picked).select("label", "text", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 20, 3), 16, 10).cast("int").alias("f")).toLocalIterator():
+    if labels is None:
+        texts = rows.where("text is not null").where(picked)
+    else:
+        texts = small_join(rows.where("text is not null"), slim.where(picked).select("doc_id", "label"), ["doc_id"])
+    for r in texts.select("label", "text", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 20, 3), 16, 10).cast("int").alias("f")).toLocalIterator():
         found[r["label"]].append((r["f"] % 10, r["text"]))
     for texts in found.values():
         texts.sort()

@@ -67,12 +67,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
     return w
 
 
-def train(rows: DataFrame, order: int = 7, most_chars: int = 5_000_000) -> ToxicModel:
-    """Fits on at most about most_chars characters of either label of (doc_id, label, text); four of ten folds weigh the evidence.
+def train(rows: DataFrame, labels: DataFrame, order: int = 7, most_chars: int = 5_000_000) -> ToxicModel:
+    """Fits on at most about most_chars characters of either label of (doc_id, text) and (doc_id, label); four of ten folds weigh the evidence.
 
     Without two labels, every score is the share of label 1 (0.0 if no label is known).
     """
-    sample = labelled_sample(rows, most_chars, 2)
+    sample = labelled_sample(rows, most_chars, 2, labels)
     sizes = {c: len(sample.get(c, [])) for c in (0, 1)}
     prior = sizes[1] / max(1, sum(sizes.values()))
     held = [(c, t) for c in (0, 1) for f, t in sample.get(c, []) if f <= 3]
@@ -113,7 +113,7 @@ def score_rows(docs: DataFrame, model: ToxicModel) -> DataFrame:
 def trained_on(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """The model of the labelled rows outside the held-out fifth."""
     mine = labels.where(held_out(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return train(docs.where(held_out(F.col("doc_id"), 5) != 0).join(mine, "doc_id").select("doc_id", "label", "text"))
+    return train(docs.where(held_out(F.col("doc_id"), 5) != 0).select("doc_id", "text"), mine)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
