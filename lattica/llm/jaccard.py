@@ -1,7 +1,8 @@
 """N-gram Jaccard join by vertical partitioning of the global shingle order.
 
 The order puts shingles that many documents share last, the others by hash.
-It is cut into fragments; a pair's overlap is counted per fragment and summed.
+It is cut into fragments; a pair's overlap is counted per fragment and summed,
+as long as the fragments to come can still lift it to the threshold.
 Pairs come from the part of each set that a partner must share (its first
 quarter in the order). Sets that are equal form one class. Within a list of
 classes that share a shingle, pairs with a hub are tried first, so that large
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lattica.llm.common import Scratch, components, doc_words, shingle_hashes, word_hashes
+from lattica.llm.common import Scratch, components, doc_words, release, shingle_hashes, word_hashes
 
 #: A shingle is frequent if it is in this part of a batch's documents and in FREQUENT_DOCS of them.
 FREQUENT, FREQUENT_DOCS = 5e-4, 5
 FRAGMENTS = 4
+#: Classes, of eight bytes each, that may be broadcast to filter the sets.
+BROADCAST_NEEDED = 1_000_000
 HUB_ROUNDS = 3
 
 
@@ -87,29 +90,46 @@ def prefixes(sets: DataFrame, frequent, percent: int) -> DataFrame:
     return sets.select("c", "n", "h").mapInArrow(run, "t long, c long, n long")
 
 
-def segments(sets: DataFrame, frequent) -> DataFrame:
+def segments(sets: DataFrame, frequent, fragment: int) -> DataFrame:
+    """(c, n, later, h): of each class, its shingles in one fragment and the number of those in each later one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, seen = [], set()
             for c, n, raw in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("h").to_pylist()):
+                if c in seen:
+                    continue
+                seen.add(c)
                 h = np.frombuffer(raw, np.int64)
                 frag = order_keys(h, frequent.value)
-                rows += [(c, n, f, h[frag == f]) for f in range(FRAGMENTS)]
-            c, n, f, h = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(f, pa.int32()), pa.array(h, pa.list_(pa.int64()))], names=["c", "n", "frag", "h"])
+                rows.append((c, n, np.bincount(frag, minlength=FRAGMENTS)[fragment + 1 :], h[frag == fragment]))
+            c, n, later, h = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(later, pa.list_(pa.int64())), pa.array(h, pa.list_(pa.int64()))], names=["c", "n", "later", "h"])
 
-    return sets.select("c", "n", "h").mapInArrow(run, "c long, n long, frag int, h array<long>")
+    return sets.select("c", "n", "h").mapInArrow(run, "c long, n long, later array<long>, h array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, frequent, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes at or above the threshold, by partial overlaps per fragment."""
-    needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    segs = segments(sets.join(needed, "c", "left_semi").dropDuplicates(["c"]), frequent)
-    left, right = (segs.select(F.col("c").alias(x), "frag", F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
-    part = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("i"))
-    i = F.sum("i")
-    total = part.groupBy("a", "b").agg(i.alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+def verified(pairs: DataFrame, sets: DataFrame, frequent, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of classes at or above the threshold, by partial overlaps summed fragment by fragment.
+
+    A pair goes as soon as its overlap so far and the smaller sizes of all
+    later fragments can't reach the threshold, so that most pairs never send
+    more than their first fragment.
+    """
+    alive = pairs.withColumn("i", F.lit(0).cast("long"))
+    for fragment in range(FRAGMENTS):
+        needed = scratch.save(alive.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+        few = needed.count() <= BROADCAST_NEEDED
+        # beyond the bound both sides are shuffled, but only with the fragment
+        segs = segments(sets.join(F.broadcast(needed), "c", "left_semi"), frequent, fragment) if few else segments(sets, frequent, fragment).join(needed, "c", "left_semi")
+        segs = segs.dropDuplicates(["c"])
+        left, right = (segs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("later").alias(f"later{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
+        room = F.aggregate(F.zip_with("latera", "laterb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+        found = alive.join(left, "a").join(right, "b").select("a", "b", (F.col("i") + F.size(F.array_intersect("ha", "hb"))).alias("i"), room.alias("room"), (F.col("na") + F.col("nb")).alias("both"))
+        most = F.col("i") + F.col("room")
+        alive = scratch.save(found.where(100 * most >= percent * (F.col("both") - most)).select("a", "b", "i"))
+        scratch.drop(needed)
+    return alive.select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -124,11 +144,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     sets = scratch.save(sets_of(docs, k))
     frequent = spark.sparkContext.broadcast(frequent_of(sets))
-    posts = prefixes(sets, frequent, percent).distinct()
-    posts = scratch.save(posts)
-    shared = posts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
-    slim = scratch.save(posts.join(shared, "t"))
-    scratch.drop(posts)
+    # a class can come once a batch; copies only make this filter let more through
+    posts = scratch.save(prefixes(sets, frequent, percent))
+    shared = scratch.save(posts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t"))
+    release(spark)
+    slim = scratch.save(posts.join(shared, "t").distinct())
+    scratch.drop(posts, shared)
     links, labels = None, None
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     for step in range(HUB_ROUNDS + 1):
@@ -147,7 +168,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         scratch.drop(rows)
         if pairs.isEmpty():
             break
-        new = scratch.save(verified(pairs, sets, frequent, percent))
+        new = scratch.save(verified(pairs, sets, frequent, percent, scratch))
         links = new if links is None else scratch.save(links.union(new))
         labels = scratch.save(components(spark, links, scratch).withColumnRenamed("id", "c"))
     members = sets.select("doc_id", F.when(F.col("n") > 0, F.col("c")).alias("c"), F.col("n").alias("n_shingles"))
