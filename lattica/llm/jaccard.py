@@ -30,12 +30,19 @@ BROADCAST_NEEDED = 1_000_000
 HUB_ROUNDS = 3
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that a worker holds few sets at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, c, n, h): class (a hash of the set), set size, and the set as sorted 64-bit integers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [np.unique(shingle_hashes(word_hashes(doc_words(t)), k)).view(np.int64) for t in b.column("text").to_pylist()]
             raw = [np.sort(s).tobytes() for s in sets]
             c = np.array([xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
@@ -49,7 +56,10 @@ def frequent_of(sets: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, n = np.unique(np.frombuffer(b"".join(b.column("h").to_pylist()), np.int64), return_counts=True)
+            # the sets lie side by side in the batch's buffer
+            _, ends, data = b.column("h").buffers()
+            at = np.frombuffer(ends, np.int32)[b.column("h").offset :][: b.num_rows + 1] if b.num_rows else np.zeros(2, np.int32)
+            u, n = np.unique(np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(np.int64), return_counts=True)
             keep = n >= max(FREQUENT_DOCS, FREQUENT * b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(n[keep].astype(np.int64))], names=["t", "df"])
 
@@ -72,8 +82,9 @@ def prefixes(sets: DataFrame, frequent, percent: int) -> DataFrame:
     """(t, c, n): the shingles of which a partner must share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ts, cs, ns, seen = [], [], [], set()
+        seen: set = set()  # the classes of a task
+        for b in pieces(batches):
+            ts, cs, ns = [], [], []
             for c, n, raw in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("h").to_pylist()):
                 if n == 0 or c in seen:
                     continue
@@ -94,8 +105,9 @@ def segments(sets: DataFrame, frequent, fragment: int) -> DataFrame:
     """(c, n, later, h): of each class, its shingles in one fragment and the number of those in each later one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, seen = [], set()
+        seen: set = set()  # the classes of a task
+        for b in pieces(batches):
+            rows = []
             for c, n, raw in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("h").to_pylist()):
                 if c in seen:
                     continue
