@@ -66,7 +66,8 @@ def leaking_texts(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
     starts = F.filter("ps", lambda s, i: F.coalesce(F.get("ps", i + half - 1) < s + F.col("len"), F.lit(False)))
     starts = hits.select("key", "it", "len", starts.alias("starts")).where("size(starts) > 0")
     wanted = scratch.save(starts)
-    bodies = source.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", shingles(F.col("text"), k).alias("sh"))
+    # few texts are wanted: only they are shuffled, as long as their keys can be broadcast
+    bodies = small_join(source, wanted.select("key").distinct(), ["key"], "left_semi").dropDuplicates(["key"]).select("key", shingles(F.col("text"), k).alias("sh"))
     windows = wanted.join(bodies, "key").select("key", "it", "len", "sh", F.explode("starts").alias("start"))
     windows = scratch.save(windows.select("key", "it", "len", "start", F.slice("sh", F.col("start") + 1, F.col("len")).alias("win")))
     ids = ["key", "it", "start"]
