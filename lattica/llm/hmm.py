@@ -46,13 +46,13 @@ def lanes(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def forward(m: Hmm, grid: np.ndarray, keep: bool = False):
     """Natural log likelihood per lane; with keep also the scaled forward values and scales."""
-    width = (grid >= 0).sum(1)
+    width, ones = (grid >= 0).sum(1), np.ones(len(m.start))
     total, kept, scales = np.zeros(grid.shape[1]), [], []
     alpha = np.repeat(m.start[None], grid.shape[1], 0)
     for t in range(len(grid)):
         n = width[t]  # lanes are sorted by length
         alpha = (alpha[:n] if t == 0 else alpha[:n] @ m.step) * m.emit[grid[t, :n]]
-        scale = alpha.sum(1)
+        scale = alpha @ ones
         alpha = alpha / scale[:, None]
         total[:n] += np.log(scale)
         if keep:
@@ -101,6 +101,49 @@ def zeros(n_symbols: int, states: int) -> list:
     return [np.zeros(states), np.zeros((states, states)), np.zeros((n_symbols, states))]
 
 
+def coded(texts: DataFrame, vocab, rare: int, end: int) -> DataFrame:
+    """(s): each text's symbols as 32-bit integers, so that the rounds don't split words again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [symbols_of(doc_words(t), vocab.value, rare, end).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["s"])
+
+    return texts.select("text").mapInArrow(run, "s binary")
+
+
+def trained(seqs: DataFrame, model: Hmm, share: np.ndarray, still: float) -> tuple[Hmm, list[float]]:
+    """Baum-Welch over all sequences until a round lifts their log likelihood by at most `still` of it.
+
+    Also gives the natural log likelihood that each round started from. With
+    the smoothing, a round never lowers the smoothed likelihood, so the rounds
+    end without a cap.
+    """
+    sc, states, size = seqs.sparkSession.sparkContext, len(model.start), len(share)
+    seen: list[float] = []
+    while True:
+        shared = sc.broadcast(model)
+
+        def e_step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m, c, ll = shared.value, zeros(size, states), 0.0
+            for b in batches:
+                for _, grid in lanes([np.frombuffer(s, np.int32) for s in b.column("s").to_pylist()]):
+                    ll += expected(m, grid, c)
+            flat = np.concatenate([x.ravel() for x in c] + [[ll]])
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["i", "x"])
+
+        found = seqs.mapInArrow(e_step, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        flat = np.zeros(states + states * states + size * states + 1)
+        flat[found.column("i").to_numpy()] = found.column("x").to_numpy()
+        shared.destroy()
+        start, step, emit, ll = np.split(flat, np.cumsum([states, states**2, size * states]))
+        model = maximised([start, step.reshape(states, states), emit.reshape(size, states)], share)
+        seen.append(float(ll[0]))
+        if len(seen) > 1 and seen[-1] - seen[-2] <= still * abs(seen[-2]):
+            return model, seen
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all texts, counted per batch before the shuffle."""
 
@@ -114,13 +157,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_texts: int = 1500, sample_rounds: int = 10, rounds: int = 1, add: float = 0.1, fold: int = 10) -> DataFrame:
+def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_texts: int = 1500, sample_rounds: int = 10, still: float = 1e-5, add: float = 0.1, fold: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Rows whose crc32(doc_id as text) mod fold is 0 are held out; all others
-    train. States start from sample_rounds rounds on at most sample_texts
-    training texts; then `rounds` rounds run over all training texts. A null
-    text is empty: its only token is the end. A null id counts as the empty
+    train. A first guess of the states comes from sample_rounds rounds on at
+    most sample_texts training texts; then rounds run over all training texts
+    until one lifts their log likelihood by at most `still` of it. A null text is empty: its only token is the end. A null id counts as the empty
     text. Without training texts both scores follow add-0.1 smoothing with no
     counts. Other columns are ignored; an empty table gives none.
     """
@@ -150,22 +193,10 @@ def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_
         for _, grid in lanes(seqs):
             expected(model, grid, c)
         model = maximised(c, share)
-    for _ in range(rounds if seqs else 0):
-        shared = sc.broadcast(model)
-
-        def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, c = shared.value, zeros(size, states)
-            for b in batches:
-                for _, grid in lanes([symbols_of(doc_words(t), vocab.value, rare, end) for t in b.column("text").to_pylist()]):
-                    expected(m, grid, c)
-            flat = np.concatenate([x.ravel() for x in c])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["i", "x"])
-
-        found = train.select("text").mapInArrow(e_step, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-        flat = np.zeros(states + states * states + size * states)
-        flat[found.column("i").to_numpy()] = found.column("x").to_numpy()
-        model = maximised([flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(size, states)], share)
+    if seqs:
+        table_of = scratch.save(coded(train, vocab, rare, end))
+        model, _ = trained(table_of, model, share, still)
+        scratch.drop(table_of)
     shared, base_den = sc.broadcast(model), total + add * (kinds + 1)
     base_log = np.log10((top_c + add) / base_den)
 

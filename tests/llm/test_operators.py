@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lattica.llm import decontaminate, hmm, jaccard, mixing, pivots, render, secrets, sharding
@@ -89,6 +90,26 @@ def test_hmm_base_score_and_gain(spark):
     assert sum(g.n_tokens for g in got if not g.held_out) == got[0].train_tokens
 
 
+def test_hmm_trains_on_all_texts_until_the_likelihood_stands_still(spark):
+    rows = corpus(5, 90)
+    gains = []
+    for still in (1.0, 1e-5):
+        got = hmm.hmm_scores(spark.createDataFrame(rows, DOCS), most_words=20, sample_texts=2, still=still).collect()
+        gains.append(sum(g.score for g in got if not g.held_out))
+    assert gains[1] > gains[0]
+    share = np.full(22, 1 / 22)
+    guess = np.random.default_rng(1).uniform(0.5, 1.5, (22, 3))
+    model = hmm.Hmm(np.full(3, 1 / 3), np.full((3, 3), 1 / 3), guess / guess.sum(0))
+    seqs = [np.array([(i * j) % 21 for j in range(i + 2)] + [21], np.int32) for i in range(40)]
+    found, seen = hmm.trained(spark.createDataFrame([(bytearray(s.tobytes()),) for s in seqs], "s binary"), model, share, 1e-4)
+    for ll in seen:  # the same rounds side by side on all texts
+        c = hmm.zeros(22, 3)
+        assert sum(hmm.expected(model, g, c) for _, g in hmm.lanes(seqs)) == pytest.approx(ll)
+        model = hmm.maximised(c, share)
+    assert len(seen) > 2 and np.allclose(found.emit, model.emit)
+    assert seen[-1] - seen[-2] <= 1e-4 * abs(seen[-2]) and all(b - a > 1e-4 * abs(a) for a, b in zip(seen[:-2], seen[1:-1]))
+
+
 @pytest.mark.parametrize("operator", [jaccard.jaccard_classes, mixing.mix, sharding.kd_shards, hmm.hmm_scores])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
