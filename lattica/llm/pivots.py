@@ -1,7 +1,8 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-A vector is described by its nearest reference points in order; vectors with
-two of them in common meet in an inverted list of that pair of pivots, and are
+A vector is described by its nearest reference points in order, as many as
+pairs at the threshold need with these reference points; vectors with two of
+them in common meet in an inverted list of that pair of pivots, and are
 verified there by cosine in double precision. Long lists are cut into blocks
 that are compared pairwise, so no task holds a whole one. Equal vectors are
 one class with a count.
@@ -10,16 +11,19 @@ one class with a count.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import Scratch, components
 
 BLOCK = 1024
+#: The part of pairs exactly at the threshold that must share pivots.
+FOUND = 0.999
 
 
 def unit(rows: list) -> np.ndarray:
@@ -34,11 +38,34 @@ def pivots_of(vectors: DataFrame, n_pivots: int, sample: int = 20_000) -> np.nda
     return unit([r["e"] for r in rows])
 
 
+def apart(points: np.ndarray, least: float) -> np.ndarray:
+    """Points of which none is near an earlier one: those inside one group of near copies would be ordered by noise."""
+    free, out = np.ones(len(points), bool), []
+    for i in range(len(points)):
+        if free[i]:
+            out.append(i)
+            free &= points @ points[i] < least
+    return points[out]
+
+
+def depth_for(points: np.ndarray, x: np.ndarray, least: float, shared: int, depth: int) -> int:
+    """The depth, `depth` at least, at which FOUND of the pairs at a cosine of exactly `least` have `shared` pivots in common; each x is paired with a point in a random direction from it."""
+    side = np.random.default_rng(0).normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = least * x + np.sqrt(1 - least**2) * side / np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    need = []
+    for i in range(0, len(x), 256):
+        ranks = [np.argsort(np.argsort(-(v[i : i + 256] @ points.T), axis=1, kind="stable"), axis=1) for v in (x, y)]
+        need.append(np.sort(np.maximum(*ranks), axis=1)[:, min(shared, len(points)) - 1] + 1)
+    return max(min(depth, len(points)), int(np.quantile(np.concatenate(need), FOUND, method="higher")))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9, shared: int = 2, depth: int = 6, n_pivots: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
 
     Links are pairs with a cosine of at least `least` that have `shared` of
-    their `depth` nearest pivots in common. Null and zero vectors, and those
+    their nearest pivots in common: the `depth` nearest, or more if depth_for
+    asks for them. Null and zero vectors, and those
     with null or non-finite components, have no link. Vectors of different
     lengths are compared only with their like. Equal vectors are linked.
     n_pivots follows the number of vectors from 64 to 2048. Rows that repeat
@@ -70,8 +97,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shared: int = 2, depth:
 
 
 def _links(spark: SparkSession, classes: DataFrame, count: int, least: float, shared: int, depth: int, n_pivots: int) -> DataFrame:
-    points = spark.sparkContext.broadcast(pivots_of(classes, n_pivots))  # n_pivots vectors
-    depth = min(depth, len(points.value))
+    points = spark.sparkContext.broadcast(apart(pivots_of(classes, n_pivots), least))  # n_pivots vectors
+    tried = classes.select("e").orderBy(F.xxhash64("c", F.lit(1)), F.col("c")).limit(4000).collect()
+    depth = depth_for(points.value, unit([r["e"] for r in tried]), least, shared, depth)
     keys = list(combinations(range(depth), min(shared, depth)))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,16 +117,42 @@ def _links(spark: SparkSession, classes: DataFrame, count: int, least: float, sh
     cells = placed.select("c", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("c", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     cells = cells.join(classes.select("c", "e"), "c")
 
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        x, c = unit(f["e"].tolist()), f["c"].to_numpy()
-        a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
-        i, j, block = f["i"].iat[0], f["j"].iat[0], f["block"].to_numpy()
-        if i != j:
-            cross = block[a] != block[b]
-            a, b = a[cross], b[cross]
-        return pd.DataFrame({"a": np.minimum(c[a], c[b]), "b": np.maximum(c[a], c[b])})
-
-    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last group of a batch can go on in the next one
+        for b in chain(batches, [None]):
+            if b is not None and not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if rest is None and b is not None else rest if b is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if t is None:
+                return
+            k = np.stack([t.column(n).to_numpy() for n in ("key", "i", "j")], 1)
+            ends = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            if b is not None:
+                rest = t.slice(ends.pop(-2) if len(ends) > 2 else 0)
+                ends[-1] = len(k) - len(rest)
+                if not ends[-1]:
+                    continue
+            c, block = t.column("c").to_numpy(), t.column("block").to_numpy()
+            e = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            x = unit(e.reshape(len(k), -1)[: ends[-1]])
+            found = []
+            for lo, hi in zip(ends, ends[1:]):
+                if hi - lo < 2:
+                    continue
+                part = x[lo:hi]
+                p, q = np.nonzero(np.triu(part @ part.T >= least, 1))
+                p, q = p + lo, q + lo
+                if k[lo, 1] != k[lo, 2]:
+                    cross = block[p] != block[q]
+                    p, q = p[cross], q[cross]
+                found.append((c[p], c[q]))
+            if found:
+                p, q = (np.concatenate(z) for z in zip(*found))
+                pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    keyed = cells.select("key", "i", "j", "c", "block", "e").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return keyed.mapInArrow(compare, "a long, b long").distinct()
 
 
 def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

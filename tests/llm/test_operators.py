@@ -62,6 +62,20 @@ def test_pivots_find_every_link_and_bad_vectors_have_none(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(200, 205))
 
 
+@pytest.mark.parametrize("n_pivots", [64, 1024, 2048])
+def test_pivots_find_links_at_the_threshold_at_every_size(n_pivots):
+    r = np.random.default_rng(4)
+    points, x, side = (pivots.unit(r.normal(size=(n, 64))) for n in (n_pivots, 2000, 2000))
+    side = pivots.unit(side - (side * x).sum(1, keepdims=True) * x)
+    cos = r.uniform(0.90, 0.92, (2000, 1))
+    y = cos * x + np.sqrt(1 - cos**2) * side
+    depth = pivots.depth_for(points, pivots.unit(r.normal(size=(2000, 64))), 0.9, 2, 6)
+    near = [np.argsort(-(v @ points.T), axis=1)[:, :depth] for v in (x, y)]
+    found = np.mean([len(np.intersect1d(a, b)) >= 2 for a, b in zip(*near)])
+    print(n_pivots, depth, found)
+    assert found >= 0.995
+
+
 def test_decontamination_finds_edited_passages(spark):
     r = random.Random(3)
     item = [f"b{r.randrange(500)}" for _ in range(60)]
