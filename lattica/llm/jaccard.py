@@ -178,8 +178,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
             pairs = left.join(right, "t").where((F.col("cx") != F.col("comp")) & near(F.col("n"), F.col("nx"))).select("x", F.col("c").alias("y"))
         pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         scratch.drop(rows)
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # of a hub round, this says nothing about pairs without a hub
+            scratch.drop(pairs)
+            continue
         new = scratch.save(verified(pairs, sets, frequent, percent, scratch))
         links = new if links is None else scratch.save(links.union(new))
         labels = scratch.save(components(spark, links, scratch).withColumnRenamed("id", "c"))

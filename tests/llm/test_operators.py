@@ -49,6 +49,14 @@ def test_jaccard_against_brute_force(spark):
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_jaccard_links_copies_whose_lists_have_a_far_larger_hub(spark):
+    w = [f"q0_{i}" for i in range(12)]
+    # in the first round, the long text is hub of every list that the two copies share
+    texts = [w, w[:-1], w + [f"z0_{i}" for i in range(40)]]
+    got = jaccard.jaccard_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2}
+
+
 def test_pivots_find_every_link_and_bad_vectors_have_none(spark):
     r = random.Random(2)
     rows = []
