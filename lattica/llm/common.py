@@ -8,7 +8,6 @@ Java, in Python and in DuckDB.
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -58,12 +57,9 @@ def held_out(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir; where that is unset, one in the warehouse, which all executors share as well."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return at.rstrip("/") if at else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lattica-scratch"
 
 
 class Scratch:
@@ -109,13 +105,14 @@ def small_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
 # ---------------------------------------------------------------- components
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rounds: int = 100) -> DataFrame:
     """Connected components of (a, b) links: rows (id, component), component the smallest id reachable.
 
     Alternates large-star and small-star steps, each an aggregation and a join
     on slim rows, until the links stand still; a round's links are a table in
     the shared folder. Only counts and sums reach the driver. Ids without a
-    link have no row.
+    link have no row. Rounds grow with the logarithm of the longest path;
+    links that still change after most_rounds are an error.
     """
     links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     links, seen = scratch.save(links), None
@@ -134,6 +131,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rou
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return roots.union(links.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 

@@ -1,11 +1,12 @@
 """N-gram Jaccard join by vertical partitioning of the global shingle order.
 
-The order puts shingles that many documents share last, the others by hash.
-It is cut into fragments; a pair's overlap is counted per fragment and summed,
-as long as the fragments to come can still lift it to the threshold.
-Pairs come from the part of each set that a partner must share (its first
-quarter in the order). Sets that are equal form one class. Within a list of
-classes that share a shingle, pairs with a hub are tried first, so that large
+The order is by hash, with shingles that many documents share last. It is
+cut into fragments; a pair's overlap is counted per fragment and summed, as
+long as the fragments to come can still lift it to the threshold. A partner
+must share a shingle in the first quarter, early enough for what follows to reach
+the threshold. Since shared passages stand last in the order, lists of
+documents that only quote the same passage don't arise. Sets that are equal
+form one class. Pairs with a few hubs of each list are tried first, so that large
 groups of near copies become one component by a linear number of pairs; all
 pairs across components that are then left are tried after that.
 """
@@ -13,21 +14,25 @@ pairs across components that are then left are tried after that.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from lattica.llm.common import Scratch, components, doc_words, release, shingle_hashes, word_hashes
 
-#: A shingle is frequent if it is in this part of a batch's documents and in FREQUENT_DOCS of them.
-FREQUENT, FREQUENT_DOCS = 5e-4, 5
+#: Shingles that repeat within a run of CHUNK of them go last in the order, the MOST_MARKED most frequent ones at most.
+CHUNK, MOST_MARKED = 1 << 22, 1 << 21
+#: Bits of the map that marks them; another shingle with the same bits goes last as well, alike in every set.
+MAP_BITS = 26
 FRAGMENTS = 4
 #: Classes, of eight bytes each, that may be broadcast to filter the sets.
 BROADCAST_NEEDED = 1_000_000
-HUB_ROUNDS = 3
+#: Hubs of a list, drawn by as many hashes, so that a group whose members are similar by chance becomes one component.
+HUB_ROUNDS, HUBS = 2, 6
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -38,90 +43,107 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, c, n, h): class (a hash of the set), set size, and the set as sorted 64-bit integers."""
+    """(doc_id, c, n, h): class (a hash of the set), set size, and the set as 64-bit integers in unsigned order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = [np.unique(shingle_hashes(word_hashes(doc_words(t)), k)).view(np.int64) for t in b.column("text").to_pylist()]
-            raw = [np.sort(s).tobytes() for s in sets]
+            sets = [np.unique(shingle_hashes(word_hashes(doc_words(t)), k)) for t in b.column("text").to_pylist()]
+            raw = [s.tobytes() for s in sets]
             c = np.array([xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "c", "n", "h"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, c long, n long, h binary")
 
 
-def frequent_of(sets: DataFrame) -> np.ndarray:
-    """Sorted frequent shingles. At most the mean set size over FREQUENT of them pass in any batch, so the list doesn't grow with the documents' number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # the sets lie side by side in the batch's buffer
-            _, ends, data = b.column("h").buffers()
-            at = np.frombuffer(ends, np.int32)[b.column("h").offset :][: b.num_rows + 1] if b.num_rows else np.zeros(2, np.int32)
-            u, n = np.unique(np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(np.int64), return_counts=True)
-            keep = n >= max(FREQUENT_DOCS, FREQUENT * b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(n[keep].astype(np.int64))], names=["t", "df"])
-
-    found = sets.select("h").mapInArrow(run, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
-    most = found.orderBy(F.desc("df"), "t").limit(1_000_000).select("t").toArrow()
-    return np.sort(most.column("t").to_numpy().astype(np.int64))
+def first_of(n: int, percent: int) -> int:
+    """How many of n shingles come first, so that a partner at the threshold must share one of them."""
+    return n - -(-percent * n // 100) + 1
 
 
-def order_keys(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Fragment of each shingle: by hash range, the last one for frequent shingles."""
-    frag = ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int32)
-    if len(frequent):
-        i = np.searchsorted(frequent, h)
-        i[i == len(frequent)] = 0
-        frag[frequent[i] == h] = FRAGMENTS - 1
-    return frag
+def shared_marks(sets: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Bit map of the shingles that several classes in a run of CHUNK shingles have. It has 2^MAP_BITS bits at any size of the input."""
 
-
-def prefixes(sets: DataFrame, frequent, percent: int) -> DataFrame:
-    """(t, c, n): the shingles of which a partner must share one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # the classes of a task
+        held, size = [], 0
+        for b in chain(pieces(batches), [None]):
+            for c, raw in zip(b.column("c").to_pylist(), b.column("h").to_pylist()) if b else ():
+                if c not in seen:
+                    seen.add(c)
+                    held.append(np.frombuffer(raw, np.int64))
+                    size += len(held[-1])
+            if held and (b is None or size >= CHUNK):
+                u, m = np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(u[m > 1]), pa.array(m[m > 1].astype(np.int32))], names=["t", "m"])
+
+    found = sets.where("n > 0").select("c", "h").mapInArrow(run, "t long, m int").groupBy("t").agg(F.sum("m").alias("m"))
+    found = scratch.save(found.select("t", F.least("m", F.lit(1 << 16)).cast("int").alias("m")))
+    least, total = 2, 0
+    for r in found.groupBy("m").count().orderBy(F.desc("m")).collect():  # at most 2^16 counts
+        total += r["count"]
+        if total > MOST_MARKED:
+            least = r["m"] + 1
+            break
+    marks = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for part in found.where(F.col("m") >= least).select(F.col("t").bitwiseAND((1 << MAP_BITS) - 1).alias("b")).toArrow().column("b").chunks:
+        b = part.to_numpy()
+        np.bitwise_or.at(marks, b >> 3, (1 << (b & 7)).astype(np.uint8))
+    scratch.drop(found)
+    return marks
+
+
+def is_shared(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    b = h & ((1 << MAP_BITS) - 1)
+    return (marks[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
+
+
+def posts_of(sets: DataFrame, marks, percent: int) -> DataFrame:
+    """(t, c, n, p, u): the shingles of which a partner must share one, with their places in the order; u is the number of the set's unmarked shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()  # the classes of a task
         for b in pieces(batches):
-            ts, cs, ns = [], [], []
+            ts, cs, ns, ps, us = [], [], [], [], []
             for c, n, raw in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("h").to_pylist()):
                 if n == 0 or c in seen:
                     continue
                 seen.add(c)
                 h = np.frombuffer(raw, np.int64)
-                order = np.lexsort((h.view(np.uint64), order_keys(h, frequent.value)))
-                first = n - -(-percent * n // 100) + 1
-                ts.append(h[order[:first]])
+                last = is_shared(h, marks.value)
+                first = first_of(n, percent)
+                ts.append(np.concatenate((h[~last][:first], h[last]))[:first])
                 cs.append(np.full(first, c))
-                ns.append(np.full(first, n))
+                ns.append(np.full(first, n, np.int32))
+                ps.append(np.arange(first, dtype=np.int32))
+                us.append(np.full(first, n - last.sum(), np.int32))
             if ts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ts, cs, ns)], names=["t", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, cs, ns, ps, us)], names=["t", "c", "n", "p", "u"])
 
-    return sets.select("c", "n", "h").mapInArrow(run, "t long, c long, n long")
+    return sets.select("c", "n", "h").mapInArrow(run, "t long, c long, n int, p int, u int")
 
 
-def segments(sets: DataFrame, frequent, fragment: int) -> DataFrame:
-    """(c, n, later, h): of each class, its shingles in one fragment and the number of those in each later one."""
+def fragments_of(sets: DataFrame, marks) -> DataFrame:
+    """(c, n, k, f0, f1, ..): of each class, its shingles by fragment (the first one for marked ones, the others hash ranges) and their numbers."""
+    names = [f"f{i}" for i in range(FRAGMENTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()  # the classes of a task
         for b in pieces(batches):
             rows = []
             for c, n, raw in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("h").to_pylist()):
-                if c in seen:
-                    continue
-                seen.add(c)
                 h = np.frombuffer(raw, np.int64)
-                frag = order_keys(h, frequent.value)
-                rows.append((c, n, np.bincount(frag, minlength=FRAGMENTS)[fragment + 1 :], h[frag == fragment]))
-            c, n, later, h = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(later, pa.list_(pa.int64())), pa.array(h, pa.list_(pa.int64()))], names=["c", "n", "later", "h"])
+                frag = ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int32) + 1
+                frag[is_shared(h, marks.value)] = 0
+                rows.append((c, n, np.bincount(frag, minlength=FRAGMENTS), *(h[frag == i] for i in range(FRAGMENTS))))
+            cols = list(zip(*rows)) if rows else [()] * (3 + FRAGMENTS)
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * (1 + FRAGMENTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["c", "n", "k", *names])
 
-    return sets.select("c", "n", "h").mapInArrow(run, "c long, n long, later array<long>, h array<long>")
+    return sets.select("c", "n", "h").mapInArrow(run, "c long, n long, k array<long>, " + ", ".join(f"{x} array<long>" for x in names))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, frequent, percent: int, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, frags: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of classes at or above the threshold, by partial overlaps summed fragment by fragment.
 
     A pair goes as soon as its overlap so far and the smaller sizes of all
@@ -130,18 +152,37 @@ def verified(pairs: DataFrame, sets: DataFrame, frequent, percent: int, scratch:
     """
     alive = pairs.withColumn("i", F.lit(0).cast("long"))
     for fragment in range(FRAGMENTS):
-        needed = scratch.save(alive.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-        few = needed.count() <= BROADCAST_NEEDED
-        # beyond the bound both sides are shuffled, but only with the fragment
-        segs = segments(sets.join(F.broadcast(needed), "c", "left_semi"), frequent, fragment) if few else segments(sets, frequent, fragment).join(needed, "c", "left_semi")
-        segs = segs.dropDuplicates(["c"])
+        segs = frags.select("c", "n", F.slice("k", fragment + 2, FRAGMENTS).alias("later"), F.col(f"f{fragment}").alias("h"))
         left, right = (segs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("later").alias(f"later{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
         room = F.aggregate(F.zip_with("latera", "laterb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
         found = alive.join(left, "a").join(right, "b").select("a", "b", (F.col("i") + F.size(F.array_intersect("ha", "hb"))).alias("i"), room.alias("room"), (F.col("na") + F.col("nb")).alias("both"))
         most = F.col("i") + F.col("room")
-        alive = scratch.save(found.where(100 * most >= percent * (F.col("both") - most)).select("a", "b", "i"))
-        scratch.drop(needed)
-    return alive.select("a", "b")
+        new = scratch.save(found.where(100 * most >= percent * (F.col("both") - most)).select("a", "b", "i"))
+        scratch.drop(pairs if fragment == 0 else alive)
+        alive = new
+    return alive
+
+
+def can_reach(percent: int, x: tuple[Column, Column, Column], y: tuple[Column, Column, Column]) -> Column:
+    """Whether two sets (size, place, unmarked shingles) can be similar enough if their first common shingle stands at these places.
+
+    What they share is at most what follows that place in either, and at most
+    the smaller of their marked and of their unmarked parts.
+    """
+    (n, p, u), (m, q, v) = x, y
+    return (100 + percent) * F.least(n - p, m - q, F.least(n - u, m - v) + F.least(u, v)) >= percent * (n + m)
+
+
+def candidates(live: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list's rows across components that can be similar enough, but for those of its largest component with itself."""
+    slim = live.select("t", "c", "n", "p", "u", "comp")
+    per = slim.groupBy("t", "comp").agg(F.count("*").alias("m"))
+    top = per.groupBy("t").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
+    sides = [slim.select(*(F.col(c).alias(f"{c}{i}") for c in slim.columns)) for i in (1, 2)]
+    left = sides[0].join(top.withColumnRenamed("t", "t1"), "t1").where("comp1 <> most")
+    apart = (F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("most")) | (F.col("comp1") < F.col("comp2")))
+    near = can_reach(percent, *((F.col(f"n{i}"), F.col(f"p{i}"), F.col(f"u{i}")) for i in (1, 2)))
+    return left.join(sides[1], (F.col("t1") == F.col("t2")) & apart & near).select(F.col("c1").alias("x"), F.col("c2").alias("y"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -153,45 +194,78 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     id are rows of their own. A component whose ids are all null has a null
     component_id. Other columns are ignored; an empty table gives none.
     """
+    out = jaccard_members(docs, "doc_id", k, percent)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) -> DataFrame:
+    """jaccard_classes with the name of the id column free, and comp, the component itself: null without shingles."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
+    docs = docs.select(F.col(key).alias("doc_id"), "text")
     sets = scratch.save(sets_of(docs, k))
-    frequent = spark.sparkContext.broadcast(frequent_of(sets))
-    # a class can come once a batch; copies only make this filter let more through
-    posts = scratch.save(prefixes(sets, frequent, percent))
-    shared = scratch.save(posts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t"))
+    marks = spark.sparkContext.broadcast(shared_marks(sets, scratch))  # 2^MAP_BITS bits
+    posts = posts_of(sets, marks, percent).repartition("t")
+    # a class can come once a task; copies only make this filter let more through
+    shared = posts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
+    live = scratch.save(posts.join(shared, "t", "left_semi").distinct())
     release(spark)
-    slim = scratch.save(posts.join(shared, "t").distinct())
-    scratch.drop(posts, shared)
+    needed = scratch.save(live.select("c").distinct())
+    few = needed.count() <= BROADCAST_NEEDED
+    frags = scratch.save(fragments_of(sets.join(F.broadcast(needed) if few else needed, "c", "left_semi").dropDuplicates(["c"]), marks))
+    members = scratch.save(sets.select("doc_id", F.when(F.col("n") > 0, F.col("c")).alias("c"), F.col("n").alias("n_shingles")))
+    scratch.drop(sets, needed)
+    marks.destroy()
     links, labels = None, None
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     for step in range(HUB_ROUNDS + 1):
-        rows = slim.withColumn("comp", F.col("c")) if labels is None else slim.join(labels, "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
-        rows = scratch.save(rows)
-        mixed = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("c", "n", "comp"), F.xxhash64("comp", F.lit(step))).alias("hub")).where("lo <> hi").select("t", "hub")
-        if step < HUB_ROUNDS:
-            pairs = rows.join(mixed, "t").where((F.col("comp") != F.col("hub.comp")) & near(F.col("n"), F.col("hub.n"))).select(F.col("hub.c").alias("x"), F.col("c").alias("y"))
-        else:
-            per = rows.join(mixed.select("t"), "t").groupBy("t", "comp").agg(F.count("*").alias("m"))
-            top = per.groupBy("t").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
-            right = rows.join(mixed.select("t"), "t")
-            left = right.join(top, "t").where("comp <> most").select("t", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            pairs = left.join(right, "t").where((F.col("cx") != F.col("comp")) & near(F.col("n"), F.col("nx"))).select("x", F.col("c").alias("y"))
+        rows = live.select("t", "c", "n", "p", "u")
+        rows = rows.withColumn("comp", F.col("c")) if labels is None else rows.join(labels, "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+        # sets with few unmarked shingles stand in the middle of their group
+        at = [F.struct(F.floor(10 * F.col("u") / F.col("n")), F.xxhash64("c", F.lit(step * HUBS + i))) for i in range(HUBS if step < HUB_ROUNDS else 0)]
+        hubs = F.array(*(F.min_by(F.struct("c", "n", "p", "u", "comp"), x) for x in at))
+        mixed = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hubs.alias("hubs")).where("lo <> hi").select("t", "hubs")
+        near = F.filter("hubs", lambda h: (h.comp != F.col("comp")) & can_reach(percent, (F.col("n"), F.col("p"), F.col("u")), (h.n, h.p, h.u)))["c"]
+        new = scratch.save(rows.join(mixed, "t").withColumn("hubs", near if step < HUB_ROUNDS else F.lit(None)))  # only lists with several components go on
+        scratch.drop(live)
+        live = new
+        pairs = live.select(F.explode("hubs").alias("x"), F.col("c").alias("y")) if step < HUB_ROUNDS else candidates(live, percent)
         pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        scratch.drop(rows)
         if pairs.isEmpty():  # of a hub round, this says nothing about pairs without a hub
             scratch.drop(pairs)
             continue
-        new = scratch.save(verified(pairs, sets, frequent, percent, scratch))
-        links = new if links is None else scratch.save(links.union(new))
+        new = verified(pairs, frags, percent, scratch)
+        merged = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
+        old = [x for x in (links, labels) if x is not None]
+        links = scratch.save(merged)
         labels = scratch.save(components(spark, links, scratch).withColumnRenamed("id", "c"))
-    members = sets.select("doc_id", F.when(F.col("n") > 0, F.col("c")).alias("c"), F.col("n").alias("n_shingles"))
+        scratch.drop(new, *old)
+    scratch.drop(live, frags)
     if labels is None:
         members = members.withColumn("comp", F.col("c"))
     else:
         members = members.join(labels, "c", "left").withColumn("comp", F.coalesce("component", "c"))
     least = members.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    return members.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    return members.join(least, "comp", "left").select("doc_id", "n_shingles", "comp", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its set size and component; see jaccard_classes."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS low FROM w UNION SELECT e.b, r.low FROM r JOIN e ON r.doc_id = e.a AND r.low < e.b)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.low) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_html": render.op10_html,
 }
 
-ORACLES = {"op1_mixing": mixing.OP1_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op6_ngram_jaccard": jaccard.OP6_SQL}
