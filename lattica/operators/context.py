@@ -1,12 +1,163 @@
-"""Token-budget context assembly."""
+"""Token-budget context assembly.
+
+Rows stand in a stated order; a budget is spent in that order. What stops at
+the first overflow is a running sum; what packs batch after batch is a fold
+over a group's costs (numbers only, so a group is as large as its row count).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.text import token_count
+
 
-def first_overflow(rows: DataFrame, group: str, order: list[Column], cost: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, before the first one whose running cost is above the budget."""
+def first_overflow(rows: DataFrame, group: str, order: list[Column], cost: str, budget: int, header: int = 0) -> DataFrame:
+    """Rows of each group, in order, before the first one whose running cost (from header on) is above the budget.
+
+    Once a row overflows, none after it comes back, whatever its cost.
+    """
     run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("spent", F.sum(cost).over(run)).where(F.col("spent") <= budget)
+    spent = rows.withColumn("spent", F.sum(cost).over(run) + header)
+    return spent.withColumn("__most", F.max("spent").over(run)).where(F.col("__most") <= budget).drop("__most")
+
+
+def reduce_context(points: DataFrame, group: str, answer: str, score: str, key: str, budget: int, cost: str | None = None) -> DataFrame:
+    """Points with an answer and a score above 0, by score, before the first that overflows; ties by key."""
+    good = points.where((F.col(score) > 0) & F.col(answer).isNotNull())
+    good = good.withColumn("tokens", F.col(cost) if cost else token_count(F.col(answer)))
+    return first_overflow(good, group, [F.desc(score), F.asc(key)], "tokens", budget)
+
+
+def table_context(rows: DataFrame, group: str, order: list[Column], columns: Sequence[str], budget: int, delimiter: str = "|") -> DataFrame:
+    """(.., line, spent): a table of rows as delimited lines; its header is paid first."""
+    header = delimiter.join(columns)
+    line = F.concat_ws(delimiter, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    lines = rows.withColumn("line", line).withColumn("__tokens", token_count(F.col("line")))
+    return first_overflow(lines, group, order, "__tokens", budget, len(header.split())).drop("__tokens")
+
+
+def next_fit(rows: DataFrame, group: str, order: Sequence[str], cost: str, budget: int, header: int = 0, first_only: bool = False) -> DataFrame:
+    """Adds `batch` from 0: an overflow closes a batch and opens the next; a batch is never empty, so an oversize row has one of its own.
+
+    Costs of a group are folded in order; ties of the order aren't allowed.
+    """
+    key = F.struct(*order, F.col(cost).alias("__cost"))
+    listed = rows.groupBy(group).agg(F.sort_array(F.collect_list(key)).alias("l"))
+
+    def step(s: Column, x: Column) -> Column:
+        over = (s.spent > header) & (s.spent + x["__cost"] > budget)
+        now = F.when(over, s.batch + 1).otherwise(s.batch)
+        return F.struct(now.alias("batch"), F.when(over, header + x["__cost"]).otherwise(s.spent + x["__cost"]).cast("long").alias("spent"), F.concat(s.out, F.array(now)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("batch"), F.lit(header).cast("long").alias("spent"), F.array().cast("array<int>").alias("out"))
+    packed = listed.select(group, F.explode(F.arrays_zip(F.col("l").alias("l"), F.aggregate("l", start, step)["out"].alias("b"))).alias("z"))
+    packed = packed.select(group, *(F.col(f"z.l.{c}").alias(c) for c in order), F.col("z.b").alias("batch"))
+    out = rows.join(packed, [group, *order])
+    return out.where("batch = 0") if first_only else out
+
+
+def community_batches(reports: DataFrame, group: str, place: str, cost: str, budget: int, header: int = 0, single: bool = False) -> DataFrame:
+    """Reports packed in order of place, each batch then ranked by (weight, rank) descending as `position`."""
+    packed = next_fit(reports, group, [place], cost, budget, header, single)
+    return packed.withColumn("position", F.row_number().over(Window.partitionBy(group, "batch").orderBy(F.desc("weight"), F.desc("rank"), place)))
+
+
+def relation_chunks(relations: DataFrame, group: str, key: str, cost: str, budget: int) -> DataFrame:
+    """Relations by degree_sum, packed into chunks; every relation is in one."""
+    ranked = relations.withColumn("__down", -F.col("degree_sum"))
+    return next_fit(ranked, group, ["__down", key], cost, budget).drop("__down")
+
+
+def prompt_chunks(rows: DataFrame, group: str, place: str, text: str, budget: int) -> DataFrame:
+    """Rows packed into prompts by their characters; a row above the budget is cut to it."""
+    cut = rows.withColumn(text, F.substring(text, 1, budget)).withColumn("__n", F.length(text))
+    return next_fit(cut, group, [place], "__n", budget).drop("__n")
+
+
+def local_context(edges: DataFrame, group: str, cost: str, budget: int) -> DataFrame:
+    """Edges of each community by degree, before the first that overflows, ties by their ends."""
+    return first_overflow(edges, group, [F.desc("degree"), F.asc("src"), F.asc("dst")], cost, budget)
+
+
+def mixed_context(parts: DataFrame, group: str, budget: int) -> DataFrame:
+    """(group, child, report): the largest sub-communities are replaced by their reports until all fits.
+
+    parts has (group, child, full, short): the tokens of a child's own context
+    and of its report. If even all reports overflow, those that fit by size,
+    largest child first, are kept.
+    """
+    order = Window.partitionBy(group).orderBy(F.desc("full"), "child")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = parts.withColumns({"place": F.row_number().over(order), "saved_": F.sum(F.col("full") - F.col("short")).over(before), "all_": F.sum("full").over(Window.partitionBy(group)), "shorts": F.sum("short").over(before), "total_short": F.sum("short").over(Window.partitionBy(group))})
+    # replaced: the first ones, as far as needed; a child is one if without it the rest is still too large
+    needed = F.col("all_") - (F.col("saved_") - (F.col("full") - F.col("short"))) > budget
+    fits = (F.col("total_short") <= budget) | (F.col("shorts") <= budget)
+    return rows.where(fits).select(group, "child", needed.alias("report"))
+
+
+def level_contexts(communities: DataFrame, hierarchy: DataFrame, budget: int) -> DataFrame:
+    """(level, community, state): `local` if its own context fits, `mixed` if it must use reports below it, `trimmed` if it has none."""
+    below = hierarchy.select(F.col("parent").alias("community")).distinct().withColumn("has", F.lit(True))
+    state = F.when(F.col("tokens") <= budget, "local").when(F.col("has"), "mixed").otherwise("trimmed")
+    return communities.join(below, "community", "left").select("level", "community", state.alias("state"))
+
+
+def split_budget(most: int, community_share: float, text_share: float) -> dict[str, int]:
+    """Tokens for communities, text units and the local tables; shares above 1 together are an error."""
+    if community_share + text_share > 1:
+        raise ValueError("shares of the budget are above 1")
+    return {"community": int(most * community_share), "text": int(most * text_share), "local": int(most * (1 - community_share - text_share))}
+
+
+def conversation_turns(turns: DataFrame, conversation: str, place: str, role: str, text: str, budget: int, most: int = 5, user: str = "user", newest_first: bool = True) -> DataFrame:
+    """(conversation, qa, question, answer, tokens, spent): user turns with the answers that follow, newest first, before the first that overflows.
+
+    What comes before the first user turn belongs to no question.
+    """
+    w = Window.partitionBy(conversation).orderBy(place)
+    numbered = turns.withColumn("qa", F.sum(F.when(F.col(role) == user, 1).otherwise(0)).over(w)).where("qa > 0")
+    said = F.struct(F.col(place).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    pairs = numbered.groupBy(conversation, "qa").agg(F.max(F.when(F.col(role) == user, F.col(text))).alias("question"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(role) != user, said))), lambda x: x.t), "\n").alias("answer"))
+    pairs = pairs.withColumn("tokens", token_count(F.col("question")) + token_count(F.col("answer")))
+    order = F.desc("qa") if newest_first else F.asc("qa")
+    recent = pairs.withColumn("__r", F.row_number().over(Window.partitionBy(conversation).orderBy(order))).where(F.col("__r") <= most).drop("__r")
+    return first_overflow(recent, conversation, [order], "tokens", budget)
+
+
+def with_flag(candidates: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """All candidates with in_context: whether they are among the chosen."""
+    flags = chosen.select(key).distinct().withColumn("in_context", F.lit(True))
+    return candidates.join(flags, key, "left").withColumn("in_context", F.coalesce("in_context", F.lit(False)))
+
+
+def examples_within(examples: DataFrame, place: str, cost: str, budget: int, least: int) -> DataFrame:
+    """Few-shot examples in order while they fit, `least` of them in any case."""
+    w = Window.orderBy(place)  # a handful of examples
+    both = examples.withColumns({"spent": F.sum(cost).over(w), "__place": F.row_number().over(w)})
+    return both.where((F.col("spent") <= budget) | (F.col("__place") <= least)).drop("__place")
+
+
+def embedding_batches(texts: DataFrame, group: str, place: str, cost: str, most_texts: int = 16, most_tokens: int = 8191) -> DataFrame:
+    """Texts in batches of at most so many texts and tokens, in order, greedily."""
+    both = texts.withColumn("__c", F.col(cost).cast("double") + F.lit(0.0))
+    # a batch closes at either bound: a fold over (texts, tokens)
+    listed = both.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), F.col("__c").alias("c")))).alias("l"))
+
+    def step(s: Column, x: Column) -> Column:
+        over = (s.n > 0) & ((s.n + 1 > most_texts) | (s.spent + x.c > most_tokens))
+        now = F.when(over, s.batch + 1).otherwise(s.batch)
+        return F.struct(now.alias("batch"), F.when(over, 1).otherwise(s.n + 1).alias("n"), F.when(over, x.c).otherwise(s.spent + x.c).alias("spent"), F.concat(s.out, F.array(now)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0.0).alias("spent"), F.array().cast("array<int>").alias("out"))
+    packed = listed.select(group, F.explode(F.arrays_zip(F.col("l").alias("l"), F.aggregate("l", start, step)["out"].alias("b"))).alias("z")).select(group, F.col("z.l.p").alias(place), F.col("z.b").alias("batch"))
+    return texts.join(packed, [group, place])
+
+
+def level_prompts(communities: DataFrame, level: str, summary: str, key: str, seed: int = 42) -> DataFrame:
+    """(level, communities, sample): per level the number of communities and one summary by seeded hash."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return communities.groupBy(level).agg(F.count("*").alias("communities"), F.min_by(summary, h).alias("sample"))

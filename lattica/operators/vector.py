@@ -1,54 +1,326 @@
-"""Exact nearest neighbours of a stated query set, in blocks of queries against all rows."""
+"""Vectors: distances as column expressions, exact searches of a stated query set, levels, assignment, codes.
+
+Searches send the base in batches past blocks of queries. The queries are a
+stated set; they reach the workers as a broadcast table of a checked size, and
+beyond that size block by block of a shuffle join. Every batch keeps its k
+best per query, so a shuffle has k rows a query and batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries of a block; a search of more queries runs block by block over one plan.
+BLOCK = 4096
+#: Metrics whose larger values are nearer.
+SIMILARITIES = frozenset({"ip", "cosine", "jaccard"})
 
-def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = 4096) -> DataFrame:
-    """(qid, id, score, rank): the k nearest rows of base (id, embedding) to each of queries (qid, embedding).
 
-    l2 scores are squared distances, ascending; cosine and ip scores are
-    similarities, descending; ties go to the smaller id. Each batch of base
-    keeps its k best per query, so the shuffle has k rows a query and batch.
-    A block of queries is shipped at a time.
-    """
-    found, size = None, queries.count()
-    sized = queries.select("qid", "embedding")
-    for part in range(max(1, -(-size // block))):
-        mine = sized if size <= block else sized.where(F.pmod(F.xxhash64("qid"), F.lit(-(-size // block))) == part)
-        q = mine.toPandas()
-        if not len(q):
+# ---------------------------------------------------------------- distances of two columns
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def _each(a: Column, b: Column, f) -> Column:
+    return F.zip_with(a, b, lambda x, y: f(x.cast("double"), y.cast("double")))
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
+
+
+def normalised(a: Column) -> Column:
+    """The vector at length 1; a zero vector stays as it is."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))), 1)
+
+
+DISTANCES = {
+    "l2": lambda a, b: _sum(_each(a, b, lambda x, y: (x - y) * (x - y))),
+    "ip": lambda a, b: _sum(_each(a, b, lambda x, y: x * y)),
+    "abs_ip": lambda a, b: _sum(_each(a, b, lambda x, y: F.abs(x * y))),
+    "cosine": lambda a, b: F.try_divide(_sum(_each(a, b, lambda x, y: x * y)), norm(a) * norm(b)),
+    "l1": lambda a, b: _sum(_each(a, b, lambda x, y: F.abs(x - y))),
+    "linf": lambda a, b: F.array_max(_each(a, b, lambda x, y: F.abs(x - y))),
+    "lp": lambda a, b, p=3.0: _sum(_each(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(p)))),
+    "canberra": lambda a, b: _sum(_each(a, b, lambda x, y: F.try_divide(F.abs(x - y), F.abs(x) + F.abs(y)))),
+    "braycurtis": lambda a, b: F.try_divide(_sum(_each(a, b, lambda x, y: F.abs(x - y))), _sum(_each(a, b, lambda x, y: F.abs(x + y)))),
+    "jensenshannon": lambda a, b: 0.5 * _sum(_each(a, b, lambda x, y: -x * F.log((x + y) / 2 / x) - y * F.log((x + y) / 2 / y))),
+    "jaccard": lambda a, b: F.try_divide(_sum(_each(a, b, F.least)), _sum(_each(a, b, F.greatest))),
+    "nan_euclidean": lambda a, b: F.try_divide(F.size(a) * _sum(F.filter(_each(a, b, lambda x, y: (x - y) * (x - y)), lambda v: ~F.isnan(v))), F.size(F.filter(_each(a, b, lambda x, y: x - y), lambda v: ~F.isnan(v)))),
+}
+
+
+def distance(a: Column | str, b: Column | str, metric: str = "l2", **how) -> Column:
+    """The distance or similarity of two vector columns, in double precision; L2 is squared, no metric is rooted."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return DISTANCES[metric](a, b, **how)
+
+
+# ---------------------------------------------------------------- the same for a matrix of queries and one of rows
+
+
+def _scores(x: np.ndarray, y: np.ndarray, metric: str, p: float) -> np.ndarray:
+    if metric in ("ip", "cosine"):
+        s = x @ y.T
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = s / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None])
+        return s
+    out = np.empty((len(x), len(y)))
+    for i, q in enumerate(x):
+        d = np.abs(y - q)
+        if metric == "l2":
+            out[i] = (d * d).sum(1)
+        elif metric == "l1":
+            out[i] = d.sum(1)
+        elif metric == "linf":
+            out[i] = d.max(1)
+        elif metric == "lp":
+            out[i] = (d**p).sum(1)
+        elif metric == "abs_ip":
+            out[i] = np.abs(y * q).sum(1)
+        else:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                if metric == "canberra":
+                    out[i] = np.nansum(d / (np.abs(y) + np.abs(q)), 1)
+                elif metric == "braycurtis":
+                    out[i] = d.sum(1) / np.abs(y + q).sum(1)
+                elif metric == "jaccard":
+                    out[i] = np.minimum(y, q).sum(1) / np.maximum(y, q).sum(1)
+                elif metric == "jensenshannon":
+                    m = (y + q) / 2
+                    out[i] = 0.5 * (-q * np.log(m / q) - y * np.log(m / y)).sum(1)
+                else:
+                    ok = ~np.isnan(d)
+                    out[i] = np.where(ok.any(1), y.shape[1] * np.nansum(d * d, 1) / np.maximum(ok.sum(1), 1), np.nan)
+    return out
+
+
+def _search(base: DataFrame, queries: DataFrame, metric: str, pick, p: float = 3.0) -> DataFrame:
+    """(qid, id, score): what pick (scores, ids -> mask or positions) keeps of every batch of base per query."""
+    spark = base.sparkSession
+    usable = lambda df: df.where("embedding is not null and size(embedding) > 0")
+    asked = usable(queries.select("qid", "embedding"))
+    n_blocks = max(1, -(-asked.count() // BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int"))
+    found = None
+    for block in range(n_blocks):
+        rows = asked.where(F.col("block") == block).select("qid", "embedding").toPandas()  # BLOCK queries
+        if not len(rows):
             continue
-        ids, x = q["qid"].to_numpy(), np.array(q["embedding"].tolist(), np.float64)
-        local = _scan(base, ids, x, k, metric)
+        shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64)))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, x = shared.value
+            for f in frames:
+                for lo in range(0, len(f), 2048):
+                    part = f.iloc[lo : lo + 2048]
+                    at = part["id"].to_numpy()
+                    s = _scores(x, np.array(part["embedding"].tolist(), np.float64), metric, p)
+                    q, i = pick(s, at)
+                    yield pd.DataFrame({"qid": ids[q], "id": at[i], "score": s[q, i]})
+
+        local = usable(base.select("id", "embedding")).mapInPandas(run, "qid long, id long, score double")
         found = local if found is None else found.union(local)
-    if found is None:
-        return base.selectExpr("id as qid", "id", "0d as score", "0 as rank").limit(0)
-    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
+    return base.sparkSession.createDataFrame([], "qid long, id long, score double") if found is None else found
+
+
+def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", p: float = 3.0) -> DataFrame:
+    """(qid, id, score, rank): the k nearest rows of base (id, embedding) to each of queries (qid, embedding).
+
+    Similarities rank descending, distances ascending; ties go to the smaller
+    id. Null and empty vectors are left out on both sides; scores that aren't
+    numbers come last.
+    """
+    down = metric in SIMILARITIES
+
+    def pick(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = np.stack([np.lexsort((at, -r if down else r))[:k] for r in s])
+        return np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+
+    score = F.when(F.isnan("score"), None).otherwise(F.col("score"))
+    order = score.desc_nulls_last() if down else score.asc_nulls_last()
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(order, "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _scan(base: DataFrame, ids: np.ndarray, x: np.ndarray, k: int, metric: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            y, at = np.array(f["embedding"].tolist(), np.float64), f["id"].to_numpy()
-            if metric == "l2":
-                s = np.stack([((y - q) ** 2).sum(1) for q in x])
-            else:
-                s = x @ y.T
-                if metric == "cosine":
-                    s /= np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
-            best = np.stack([np.lexsort((at, r if metric == "l2" else -r))[:k] for r in s])
-            n = best.shape[1]
-            yield pd.DataFrame({"qid": np.repeat(ids, n), "id": at[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-
-    return base.select("id", "embedding").where("embedding is not null").mapInPandas(run, "qid long, id long, score double")
+    return _search(base, queries, metric, pick, p).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def within_radius(base: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
+    """(qid, id, score): all rows nearer than radius (distances below it, similarities above it)."""
+    return _search(base, queries, metric, lambda s, at: np.nonzero(s > radius if metric in SIMILARITIES else s < radius))
+
+
+def within_radius_capped(base: DataFrame, queries: DataFrame, radius: float, most: int, metric: str = "l2") -> DataFrame:
+    """within_radius with the smallest radius that leaves at most `most` results, as (qid, id, score); ties at it are left out."""
+    found = within_radius(base, queries, radius, metric)
+    down = metric in SIMILARITIES
+    cut = found.select("score").orderBy(F.desc("score") if down else F.asc("score")).limit(most + 1)
+    edge = cut.agg(F.count("*").alias("n"), (F.min if down else F.max)("score").alias("edge"))
+    keep = (F.col("n") <= most) | (F.col("score") > F.col("edge") if down else F.col("score") < F.col("edge"))
+    return found.crossJoin(F.broadcast(edge)).where(keep).select("qid", "id", "score")
+
+
+def knn_selected(base: DataFrame, queries: DataFrame, k: int, selector, metric: str = "l2") -> DataFrame:
+    """knn over the ids that a selector (Column -> Column) takes."""
+    return knn(base.where(selector(F.col("id"))), queries, k, metric)
+
+
+def knn_subset(base: DataFrame, ids: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """knn over the rows whose id is in ids."""
+    return knn(base.join(ids.select("id"), "id", "left_semi"), queries, k, metric)
+
+
+def pair_distances(base: DataFrame, pairs: DataFrame, metric: str = "l2") -> DataFrame:
+    """(a, b, score) for given pairs of ids."""
+    x, y = (base.select(F.col("id").alias(n), F.col("embedding").alias(f"e{n}")) for n in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", distance("ea", "eb", metric).alias("score"))
+
+
+def assign(base: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
+    """(id, centroid, score): the nearest of few centroids (centroid, embedding); ties go to the smaller centroid."""
+    c = F.broadcast(centroids.select("centroid", F.col("embedding").alias("__c")))
+    each = base.select("id", "embedding").where("embedding is not null").crossJoin(c).select("id", "centroid", distance("embedding", "__c", metric).alias("score"))
+    sign = -1 if metric in SIMILARITIES else 1
+    best = F.min(F.struct((F.col("score") * sign).alias("s"), "centroid", "score"))
+    return each.groupBy("id").agg(best.alias("b")).select("id", "b.centroid", "b.score")
+
+
+def level_knn(base: DataFrame, queries: DataFrame, k: int, levels: Sequence[int] | None = None, metric: str = "l2") -> DataFrame:
+    """(qid, level, id, score, rank): the k nearest of every level of base (id, level, embedding). One pass serves all levels."""
+    use = base if levels is None else base.where(F.col("level").isin(list(levels)))
+    names = [r["level"] for r in use.select("level").distinct().collect()]  # few levels
+    parts = [knn(use.where(F.col("level") == level), queries, k, metric).withColumn("level", F.lit(level)) for level in sorted(x for x in names if x is not None)]
+    return reduce(lambda a, b: a.union(b), parts).select("qid", "level", "id", "score", "rank")
+
+
+def merge_levels(found: DataFrame, k: int | None, metric: str = "l2") -> DataFrame:
+    """Results of all levels by distance, the k best per query; without k, all of them."""
+    order = F.col("score").desc() if metric in SIMILARITIES else F.col("score").asc()
+    out = found.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(order, "level", "id")))
+    return out if k is None else out.where(F.col("place") <= k)
+
+
+def search_by_similarity(base: DataFrame, queries: DataFrame, k: int, include: Sequence[int] = (), exclude: Sequence[int] = (), oversample: int = 2) -> DataFrame:
+    """(qid, id, rank): the k * oversample nearest by cosine without the excluded ids, after the included ones."""
+    found = knn(base, queries, k * oversample, "cosine").where(~F.col("id").isin(list(exclude)) if exclude else F.lit(True)).select("qid", "id", "rank")
+    if not include:
+        return found
+    first = queries.select("qid").crossJoin(F.broadcast(base.sparkSession.createDataFrame([(x, i - len(include)) for i, x in enumerate(include)], "id long, rank int")))
+    return found.where(~F.col("id").isin(list(include))).unionByName(first)
+
+
+def centroids(base: DataFrame, group: str) -> DataFrame:
+    """(centroid, embedding, n): mean vectors by group; components meet by place, so no group is gathered."""
+    parts = base.where("embedding is not null").select(F.col(group).alias("centroid"), F.posexplode("embedding").alias("place", "x"))
+    means = parts.groupBy("centroid", "place").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    return means.groupBy("centroid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s.x).alias("embedding"), F.max("n").alias("n"))
+
+
+def nearest_to_mean(base: DataFrame, k: int) -> DataFrame:
+    """(id, score): the k rows nearest to the mean vector."""
+    middle = F.broadcast(centroids(base.withColumn("__all", F.lit(0)), "__all").select(F.col("embedding").alias("__c")))
+    return base.where("embedding is not null").crossJoin(middle).select("id", distance("embedding", "__c").alias("score")).orderBy("score", "id").limit(k)
+
+
+def weighted_mean(parts: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """(key, embedding): the chunks' vectors (key, embedding) averaged by weight and brought to length 1."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    each = parts.select(key, w.alias("w"), F.posexplode("embedding").alias("place", "x"))
+    means = each.groupBy(key, "place").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("x"))
+    whole = means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s.x).alias("v"))
+    return whole.select(key, normalised(F.col("v")).alias("embedding"))
+
+
+# ---------------------------------------------------------------- binary codes
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def hamming_knn(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, distance, rank) for codes (id, code) and a stated set of queries (qid, code).
+
+    Distances are small integers: per query and distance the ids are cut to k
+    before they are ranked.
+    """
+    each = codes.crossJoin(F.broadcast(queries.withColumnRenamed("code", "__q"))).select("qid", "id", hamming(F.col("code"), F.col("__q")).alias("distance"))
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+def hamming_within(codes: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """(qid, id, distance) up to the radius, by blocks of which one at least must agree."""
+    cuts = [63 * i // (radius + 1) for i in range(radius + 2)]
+    parts = lambda c: F.array(*(F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])))
+    left = codes.select("id", "code", F.posexplode(parts(F.col("code"))).alias("block", "value"))
+    right = queries.select("qid", F.col("code").alias("__q"), F.posexplode(parts(F.col("code"))).alias("block", "value"))
+    return left.join(right, ["block", "value"]).select("qid", "id", hamming(F.col("code"), F.col("__q")).alias("distance")).where(F.col("distance") <= radius).distinct()
+
+
+def hamming_count(codes: DataFrame, queries: DataFrame, threshold: int) -> DataFrame:
+    """(qid, n): how many codes are within the threshold."""
+    each = codes.crossJoin(F.broadcast(queries.withColumnRenamed("code", "__q")))
+    return each.where(hamming(F.col("code"), F.col("__q")) <= threshold).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- ids and codes of an index
+
+
+def with_ids(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """Replaces ids by those of a map (id, external)."""
+    return base.join(ids, "id").drop("id").withColumnRenamed("external", "id")
+
+
+def merged(*bases: DataFrame) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), bases)
+
+
+def without_ids(base: DataFrame, ids: DataFrame) -> DataFrame:
+    return base.join(ids.select("id"), "id", "left_anti")
+
+
+def reconstruct(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored vectors of ids; an unknown id has a null vector."""
+    return ids.select("id").join(base, "id", "left")
+
+
+def scalar_bounds(base: DataFrame) -> DataFrame:
+    """(place, low, high) of every component."""
+    parts = base.where("embedding is not null").select(F.posexplode("embedding").alias("place", "x"))
+    return parts.groupBy("place").agg(F.min(F.col("x").cast("double")).alias("low"), F.max(F.col("x").cast("double")).alias("high"))
+
+
+def scalar_encode(base: DataFrame, bits: int = 8) -> DataFrame:
+    """(id, codes): components as integers of so many bits between their bounds."""
+    ends = F.broadcast(scalar_bounds(base).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "low", "high"))), lambda s: F.struct(s.low.alias("low"), s.high.alias("high"))).alias("__ends")))
+    top = float((1 << bits) - 1)
+    code = F.zip_with("embedding", "__ends", lambda x, e: F.when(e.high > e.low, F.floor((x.cast("double") - e.low) / (e.high - e.low) * top + 0.5)).otherwise(0).cast("int"))
+    return base.where("embedding is not null").crossJoin(ends).select("id", code.alias("codes"))
+
+
+# ---------------------------------------------------------------- agreement
+
+
+def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(qid, recall): the part of each query's true neighbours (qid, id) that was found."""
+    hits = truth.join(found.select("qid", "id").withColumn("hit", F.lit(1)), ["qid", "id"], "left")
+    return hits.groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
+def result_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(agreement): shared results of two tables over the first one's size."""
+    n = a.agg(F.count("*").alias("n"))
+    return a.join(b.select("qid", "id"), ["qid", "id"], "left_semi").agg(F.count("*").alias("s")).crossJoin(n).select((F.col("s") / F.col("n")).alias("agreement"))
+
+
+def range_precision_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(precision, recall) of range results over all queries."""
+    same = found.select("qid", "id").join(truth.select("qid", "id"), ["qid", "id"], "left_semi").agg(F.count("*").alias("s"))
+    return same.crossJoin(found.agg(F.count("*").alias("f"))).crossJoin(truth.agg(F.count("*").alias("t"))).select(F.try_divide("s", "f").alias("precision"), F.try_divide("s", "t").alias("recall"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators.context import first_overflow
+from lattica.operators.context import reduce_context
 from lattica.operators.graph import canonical_edges, combined_degree, degrees
 from lattica.operators.vector import knn
 
@@ -27,12 +27,6 @@ def _knn(metric: str):
     return run
 
 
-def community_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    joined = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-    return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("members"))
-
-
 def antijoin_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
@@ -43,8 +37,8 @@ def timestamp_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reduce_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
-    return first_overflow(rows, "source", [F.desc("quality"), F.asc("doc_id")], "n_chars", 20_000).select("source", "doc_id", "quality", "n_chars", "spent")
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang"), "doc_id")
+    return reduce_context(rows, "source", "lang", "quality", "doc_id", 20_000, "n_chars").select("source", "doc_id", "quality", "n_chars", "spent")
 
 
 QUERIES = {
@@ -54,7 +48,6 @@ QUERIES = {
     "knn_l2_topk": _knn("l2"),
     "knn_cosine_topk": _knn("cosine"),
     "knn_ip_topk": _knn("ip"),
-    "community_hierarchy": community_hierarchy,
     "antijoin_unlabelled": antijoin_unlabelled,
     "timestamp_parts": timestamp_parts,
     "reduce_context_budget": reduce_context_budget,
@@ -78,8 +71,7 @@ ORACLES = {
     "knn_l2_topk": _knn_sql("list_distance(q.x, b.x) ** 2", ""),
     "knn_cosine_topk": _knn_sql("list_cosine_similarity(q.x, b.x)", "DESC"),
     "knn_ip_topk": _knn_sql("list_inner_product(q.x, b.x)", "DESC"),
-    "community_hierarchy": "SELECT r_name, n_name, count(*) AS members FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "antijoin_unlabelled": "SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "timestamp_parts": "SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second FROM events",
-    "reduce_context_budget": "SELECT * FROM (SELECT source, doc_id, quality, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY quality DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM labels JOIN documents USING (doc_id)) WHERE spent <= 20000",
+    "reduce_context_budget": "SELECT * FROM (SELECT source, doc_id, quality, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY quality DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM labels JOIN documents USING (doc_id) WHERE quality > 0 AND lang IS NOT NULL) WHERE spent <= 20000",
 }
