@@ -1,9 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-Characters are modelled, not words, so that spellings never seen still share
-what they have in common; a word's evidence is the difference of its two log
-likelihoods. A text's length-normalised difference and its strongest words
-are weighed by a logistic fit on folds that the models haven't seen.
+A passage's toxic and ordinary log likelihoods, divided by its length, are
+compared; a text is as toxic as its most toxic passage of PASSAGE words. That
+difference is the only evidence; offset and slope of a logistic curve bring it
+to 0 to 1, fitted on folds that the models haven't seen. Characters are
+modelled within words, so that spellings never seen still share what they have
+in common; counts below the longest n-gram are shared by both classes.
 """
 
 from __future__ import annotations
@@ -20,21 +22,21 @@ from lattica.llm.charlm import SPACE, CharModel, blocks_of, fit, score_positions
 from lattica.llm.common import held_out
 from lattica.llm.sampling import labelled_sample
 
-FEATURES, STRONG = 5, 3
+#: Words of a passage.
+PASSAGE = 3
 
 
 @dataclass
 class ToxicModel:
     chars: CharModel | None
-    weights: np.ndarray
-    mean: np.ndarray
-    scale: np.ndarray
+    slope: float
+    offset: float
     prior: float
 
 
-def features(model: CharModel, texts: list) -> np.ndarray:
-    """Per text: difference per character, strongest words (first, second, mean of the first three), share of strong words. Without words, zeros."""
-    out = np.zeros((len(texts), FEATURES))
+def differences(model: CharModel, texts: list) -> np.ndarray:
+    """Per text: the largest length-normalised log likelihood difference of its passages; a text of fewer words is one passage. Without words, 0."""
+    out = np.zeros(len(texts))
     for idx, parts in blocks_of(texts, model.alphabet):
         full = [(i, p) for i, p in zip(idx, parts) if len(p) > 1]
         if not full:
@@ -44,14 +46,14 @@ def features(model: CharModel, texts: list) -> np.ndarray:
         diff = np.concatenate(([0.0], (logp[:, 1] - logp[:, 0]).astype(np.float64)))
         heads = np.flatnonzero(ids == SPACE)
         diff[heads] = 0
-        word = np.add.reduceat(diff, heads)
-        ends = np.cumsum([len(p) for _, p in full])
-        last = np.searchsorted(heads, ends)
+        upto = np.concatenate(([0.0], np.cumsum(np.add.reduceat(diff, heads))))
+        at = np.append(heads, len(ids))
+        ends = np.searchsorted(heads, np.cumsum([len(p) for _, p in full]))
         first = 0
-        for (i, p), stop in zip(full, last):
-            w = word[first:stop]
-            top = np.sort(np.partition(w, -3)[-3:] if len(w) > 3 else np.append(w, np.zeros(3 - len(w))))[::-1]
-            out[i] = w.sum() / len(p), top[0], top[1], top.mean(), (w > STRONG).mean()
+        for (i, _), stop in zip(full, ends):
+            k = min(PASSAGE, stop - first)
+            a, b = slice(first, stop - k + 1), slice(first + k, stop + 1)
+            out[i] = ((upto[b] - upto[a]) / (at[b] - at[a])).max()
             first = stop
     return out
 
@@ -68,7 +70,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
 
 
 def train(rows: DataFrame, labels: DataFrame, order: int = 7, most_chars: int = 5_000_000) -> ToxicModel:
-    """Fits on at most about most_chars characters of either label of (doc_id, text) and (doc_id, label); four of ten folds weigh the evidence.
+    """Fits on at most about most_chars characters of either label of (doc_id, text) and (doc_id, label); four of ten folds calibrate.
 
     Without two labels, every score is the share of label 1 (0.0 if no label is known).
     """
@@ -78,11 +80,12 @@ def train(rows: DataFrame, labels: DataFrame, order: int = 7, most_chars: int =
     held = [(c, t) for c in (0, 1) for f, t in sample.get(c, []) if f <= 3]
     texts = {c: [t for f, t in sample.get(c, []) if f > 3] for c in (0, 1)}
     if not (texts[0] and texts[1] and len({c for c, _ in held}) == 2):
-        return ToxicModel(None, np.zeros(0), np.zeros(0), np.ones(0), prior)
+        return ToxicModel(None, 0.0, 0.0, prior)
     chars = fit(texts, order, shared=True)
-    x, y = features(chars, [t for _, t in held]), np.array([c for c, _ in held], float)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    return ToxicModel(chars, logistic((x - mean) / scale, y), mean, scale, prior)
+    x, y = differences(chars, [t for _, t in held]), np.array([c for c, _ in held], float)
+    mean, scale = x.mean(), x.std() + 1e-9
+    w = logistic(((x - mean) / scale)[:, None], y)
+    return ToxicModel(chars, float(w[0] / scale), float(w[1] - w[0] * mean / scale), prior)
 
 
 def score_rows(docs: DataFrame, model: ToxicModel) -> DataFrame:
@@ -100,8 +103,8 @@ def score_rows(docs: DataFrame, model: ToxicModel) -> DataFrame:
             if m.chars is None:
                 p = np.full(b.num_rows, m.prior)
             else:
-                x = (features(m.chars, b.column("text").to_pylist()) - m.mean) / m.scale
-                p = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
+                x = differences(m.chars, b.column("text").to_pylist())
+                p = 1 / (1 + np.exp(-np.clip(x * m.slope + m.offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
@@ -117,6 +120,7 @@ def trained_on(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of documents; see train and score_rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = trained_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_rows(docs, model).select("doc_id", (held_out(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
