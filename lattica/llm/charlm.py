@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-SPACE, OTHER, CODES = 1, 255, 0x3000
+#: Ids from OTHER on are shared by letters that aren't among the most frequent ones: one id per 256 code points, modulo OTHERS.
+SPACE, OTHER, OTHERS, CODES = 1, 224, 32, 0x110000
 
 
 @dataclass
@@ -29,18 +30,15 @@ class CharModel:
 
 
 def alphabet_of(texts: list[str]) -> np.ndarray:
-    """Ids for the 253 most frequent letters and digits; other letters share one id, all else is a space."""
-    table = np.full(CODES + 1, SPACE, np.uint8)
-    for i in range(CODES):
-        if chr(i).isalnum():
-            table[i] = OTHER
-    table[CODES] = OTHER  # beyond the table
-    seen = np.zeros(CODES + 1, np.int64)
+    """Ids for the most frequent letters and digits; other letters share an id with those near them, all else is a space."""
+    letters = np.fromiter((chr(i).isalnum() for i in range(CODES)), bool, CODES)
+    table = np.where(letters, OTHER + (np.arange(CODES) >> 8) % OTHERS, SPACE).astype(np.uint8)
+    seen = np.zeros(CODES, np.int64)
     for t in texts:
-        seen += np.bincount(np.minimum(points(t), CODES), minlength=CODES + 1)
-    seen[table == SPACE] = 0
-    seen[CODES] = 0
-    best = np.argsort(-seen, kind="stable")[:253]
+        at, n = np.unique(points(t), return_counts=True)
+        seen[at] += n
+    seen[~letters] = 0
+    best = np.argsort(-seen, kind="stable")[: OTHER - 2]
     best = best[seen[best] > 0]
     table[best] = np.arange(2, 2 + len(best), dtype=np.uint8)
     return table
@@ -54,7 +52,7 @@ def symbols(text: str | None, alphabet: np.ndarray) -> np.ndarray:
     """Ids of a text's characters with one space before each word; empty without letters or digits."""
     if not text:
         return np.empty(0, np.uint8)
-    ids = alphabet[np.minimum(points(text), CODES)]
+    ids = alphabet[points(text)]
     keep = np.empty(len(ids), bool)
     keep[:1] = ids[:1] != SPACE
     np.not_equal(ids[1:], SPACE, out=keep[1:])
@@ -113,6 +111,8 @@ def fit(texts: dict, order: int, shared: bool, least: int = 1) -> CharModel:
     full: list[list] = [[] for _ in range(order + 1)]  # per length: per class packed n-grams
     lower: list[list] = [[] for _ in range(order + 1)]
     masks = [(1 << (8 * n)) - 1 for n in range(order + 1)]
+    if not classes:
+        return model
     for c in classes:
         codes, lengths = [], []
         for t in texts[c]:

@@ -100,6 +100,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its language, score and held_out; see identify."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = held_out(F.col("doc_id"), 4)
     model = train(docs.where(fold != 2).select("doc_id", F.col("lang").alias("label"), "text"))

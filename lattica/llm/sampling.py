@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from lattica.llm.common import id_hash, small_join
 
 
-def labelled_sample(rows: DataFrame, most_chars: int, most_classes: int = 256, labels: DataFrame | None = None) -> dict:
+def labelled_sample(rows: DataFrame, most_chars: int, most_classes: int = 65_536, labels: DataFrame | None = None) -> dict:
     """Whole texts by label: {label: [(fold 0 to 9, text)]}.
 
     rows has (doc_id, label, text), or (doc_id, text) with (doc_id, label) in
     labels. Per label, documents come by id hash until about most_chars
     characters are expected; a label with fewer gives all its texts. The
-    driver holds at most most_classes labels, the most frequent ones. Null
+    driver holds at most most_classes labels; more are an error. Null
     labels and texts are left out. Labels meet lengths first; texts are only
     joined with the picked ids, whose number the characters bound.
     """
     h = id_hash(F.col("doc_id"), 40)
     slim = rows.where("text is not null").select("doc_id", F.length("text").alias("n"), *(["label"] if labels is None else []))
     slim = (slim if labels is None else slim.join(labels, "doc_id")).where("label is not null")
-    sums = slim.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(most_classes).collect()
+    sums = slim.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(most_classes + 1).collect()
+    if len(sums) > most_classes:
+        raise ValueError(f"more than {most_classes} labels")
     picked = F.lit(False)
     for r in sums:
         part = min(1.0, most_chars / max(1, r["n"]))
