@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 B, I, O = range(3)
+RUNS, KINDS_OF = re.compile(r"(.)\1+"), str.maketrans({**{c: "x" for c in string.ascii_lowercase}, **{c: "X" for c in string.ascii_uppercase}, **{c: "0" for c in string.digits}})
 BITS, FILES, CACHE = 18, 8, 300_000
+#: Features of a neighbour that isn't looked at.
+BLIND = [(1 << BITS) - 1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -46,14 +50,14 @@ def shown(spans: list) -> str:
 
 def traits(token: str) -> tuple[list[int], list[int]]:
     """Hashed features of a token for its own place, and for its neighbours' places."""
-    kinds = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"\d", "0", token)))))
+    kinds = RUNS.sub(r"\1", token.translate(KINDS_OF) if token.isascii() else "".join(KINDS_OF.get(ord(c)) or ("a" if c.isalpha() else "0" if c.isdigit() else c) for c in token))
     n, letters = len(token), Counter(token)
     entropy = -sum(c / n * math.log2(c / n) for c in letters.values())
     mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
     own = [f"s{kinds[:8]}", f"l{min(n, 40) // 4}", f"e{int(entropy * 2)}", f"m{mixed}{min(n, 24) // 8}", f"c{min(len(kinds), 12)}", f"x{not token.strip('0123456789abcdef')}{min(n, 24) // 8}"]
     near = [f"w{token.lower()}" if n <= 16 and not mixed else "long", f"s{kinds[:4]}"]
     code = lambda names: [crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
-    return code(own), code(near)
+    return code(own), [min(x, (1 << BITS) - 2) for x in code(near)]
 
 
 def file_kind(text: str) -> int:
@@ -120,9 +124,21 @@ def learn(m: Crf, line: tuple, rate: float) -> None:
             m.after[near[t]] += g[t - 1]
 
 
-def train(docs: DataFrame, most_texts: int = 4000, passes: int = 4, plain_lines: int = 2000) -> Crf:
-    """Learns from pieces of lines (200 tokens at most) with a match, and plain_lines without one, of at most most_texts texts of the lowest id hashes."""
-    texts = [r["text"] for r in docs.where("text is not null").orderBy(id_hash(F.col("doc_id")), "text").limit(most_texts).select("text").collect()]
+def sampled(docs: DataFrame, most_texts: int) -> list[str]:
+    """About most_texts texts at most, those of the lowest id hashes; rows beyond the hash bound never leave their task."""
+    n = docs.where("text is not null").count()
+    h = id_hash(F.col("doc_id"), 40)
+    some = docs.where("text is not null").where(h < int(min(1.0, most_texts / max(n, 1)) * (1 << 40)) + (n <= most_texts)).select(h.alias("h"), "text")
+    return [r["text"] for r in sorted(some.toLocalIterator(), key=lambda r: (r["h"], r["text"]))][: 2 * most_texts]
+
+
+def train(docs: DataFrame, most_texts: int = 2000, passes: int = 4, plain_lines: int = 1000, blind: float = 0.3) -> Crf:
+    """Learns from pieces of lines (200 tokens at most) with a match, and plain_lines without one, of about most_texts texts of the lowest id hashes.
+
+    In a part `blind` of the lines the words around a token count for
+    nothing, so that a secret's own shape is learned as well as its setting.
+    """
+    texts = sampled(docs, most_texts)
     size = 1 << BITS
     m = Crf(*(np.zeros((size, 3)) for _ in range(4)), np.zeros((FILES, 3)), np.zeros((3, 3)), np.array([0.0, -20.0, 0.0]))
     m.step[O, I] = -20.0
@@ -154,7 +170,12 @@ def train(docs: DataFrame, most_texts: int = 4000, passes: int = 4, plain_lines:
     order = np.random.default_rng(0)
     for p in range(passes):
         for i in order.permutation(len(lines)):
-            learn(m, lines[i], 0.1 / (1 + p))
+            own, near, kind, y = lines[i]
+            if order.random() < blind:
+                near = [BLIND] * len(own)
+            learn(m, (own, near, kind, y), 0.1 / (1 + p))
+    for table in (m.before, m.before2, m.after):
+        table[BLIND] = 0.0
     if not lines:
         m.file[:, O] = 100.0
     return m
@@ -166,7 +187,11 @@ class Tagger:
     def __init__(self, m: Crf):
         self.m, self.ids, self.n = m, {}, 0
         self.scores = np.zeros((CACHE, 4, 3))
-        self.gain = float(np.ptp(m.step[m.step > -20])) if (m.step > -20).any() else 0.0
+        # the most that a run of tokens inside can gain over staying outside, by its way in, on and out
+        s = m.step
+        self.enter = float(max(s[O, B] - s[O, O], s[B, B] - s[O, O], s[I, B] - s[O, O], s[B, I] - s[O, O], s[I, I] - s[O, O]))
+        self.leave = float(max(s[B, O], s[I, O]) - s[O, O])
+        self.begin = float(m.start[B] - m.start[O])
 
     def id_of(self, token: str) -> int:
         i = self.ids.get(token)
@@ -194,8 +219,10 @@ class Tagger:
                 e[1:] += s[:-1, 1]
                 e[2:] += s[:-2, 2]
                 e[:-1] += s[1:, 3]
-                # a token tagged otherwise than outside changes two transitions at most
-                if (np.maximum(e[:, B], e[:, I]) - e[:, O] + 2 * self.gain + abs(self.m.start).max() * (np.arange(len(e)) == 0) > 0).any():
+                # tags other than outside can win only if some token gains more than it loses: each brings its score, its way in and its part of the way out
+                gain = np.maximum(e[:, B], e[:, I]) - e[:, O] + max(0.0, self.leave) + self.enter
+                gain[0] += max(0.0, self.begin - self.enter)
+                if gain.max() > 0:
                     tags = self.best(e)
                     if (tags != O).any():
                         where = [(t.start(), t.end()) for t in TOKEN.finditer(line)]
@@ -227,6 +254,18 @@ class Tagger:
         return tags
 
 
+_TAGGERS: dict = {}
+
+
+def tagger_of(m: Crf) -> Tagger:
+    """One tagger a worker process, so that its cache outlives a task."""
+    key = hash((m.own.tobytes(), m.step.tobytes()))
+    if key not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[key] = Tagger(m)
+    return _TAGGERS[key]
+
+
 def scan(docs: DataFrame, model: Crf) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf) for every row of docs.
 
@@ -238,7 +277,7 @@ def scan(docs: DataFrame, model: Crf) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = tagger_of(shared.value)
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
@@ -254,5 +293,6 @@ def scan(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its spans; see train and scan."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(docs, train(docs))
