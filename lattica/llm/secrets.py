@@ -32,8 +32,10 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 B, I, O = range(3)
 RUNS, KINDS_OF = re.compile(r"(.)\1+"), str.maketrans({**{c: "x" for c in string.ascii_lowercase}, **{c: "X" for c in string.ascii_uppercase}, **{c: "0" for c in string.digits}})
 BITS, FILES, CACHE = 18, 8, 300_000
+#: Lines with a secret count so many times in training.
+FOUND_TIMES = 6
 #: Features of a neighbour that isn't looked at.
-BLIND = [(1 << BITS) - 1]
+BLIND = (1 << BITS) - 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -48,16 +50,34 @@ def shown(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, *_ in spans)
 
 
-def traits(token: str) -> tuple[list[int], list[int]]:
+def code(name: str) -> int:
+    return crc32(name.encode("utf-8", "surrogatepass")) % BLIND
+
+
+def kinds_of(token: str) -> str:
+    """A token's kinds of characters, runs of one kind once: 0 digit, X and x ASCII letters, a other letters."""
+    return RUNS.sub(r"\1", token.translate(KINDS_OF) if token.isascii() else "".join(KINDS_OF.get(ord(c)) or ("a" if c.isalpha() else "0" if c.isdigit() else c) for c in token))
+
+
+_OWN: dict = {}
+
+
+def traits(token: str) -> tuple[tuple, tuple]:
     """Hashed features of a token for its own place, and for its neighbours' places."""
-    kinds = RUNS.sub(r"\1", token.translate(KINDS_OF) if token.isascii() else "".join(KINDS_OF.get(ord(c)) or ("a" if c.isalpha() else "0" if c.isdigit() else c) for c in token))
-    n, letters = len(token), Counter(token)
-    entropy = -sum(c / n * math.log2(c / n) for c in letters.values())
-    mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-    own = [f"s{kinds[:8]}", f"l{min(n, 40) // 4}", f"e{int(entropy * 2)}", f"m{mixed}{min(n, 24) // 8}", f"c{min(len(kinds), 12)}", f"x{not token.strip('0123456789abcdef')}{min(n, 24) // 8}"]
-    near = [f"w{token.lower()}" if n <= 16 and not mixed else "long", f"s{kinds[:4]}"]
-    code = lambda names: [crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
-    return code(own), [min(x, (1 << BITS) - 2) for x in code(near)]
+    kinds, n = kinds_of(token), min(len(token), 40)
+    plain = token.isalpha()
+    if plain or n < 6:
+        entropy, mixed = -1, False  # words and short tokens are told apart by shape and length alone
+    else:
+        entropy = int(-2 * sum(c / len(token) * math.log2(c / len(token)) for c in Counter(token).values()))
+        mixed = "0" in kinds and any(c in kinds for c in "xXa")
+    key = (kinds[:8], n, entropy, mixed, min(len(kinds), 12), not token.strip("0123456789abcdef"))
+    own = _OWN.get(key)
+    if own is None:
+        if len(_OWN) > CACHE:
+            _OWN.clear()
+        own = _OWN[key] = tuple(map(code, (f"s{key[0]}", f"l{n // 4}", f"e{entropy}", f"m{mixed}{min(n, 24) // 8}", f"c{key[4]}", f"x{key[5]}{min(n, 24) // 8}")))
+    return own, (code(f"w{token.lower()}" if n <= 16 and not mixed else "long"), code(f"s{kinds[:4]}"))
 
 
 def file_kind(text: str) -> int:
@@ -75,53 +95,47 @@ class Crf:
     start: np.ndarray
 
 
-def emissions(m: Crf, own: list, near: list, kind: int) -> np.ndarray:
-    own, near = list(own), list(near)
-    e = np.array([m.own[f].sum(0) for f in own]) + m.file[kind]
-    left, right = np.array([m.before[f].sum(0) for f in near]), np.array([m.after[f].sum(0) for f in near])
-    left2 = np.array([m.before2[f].sum(0) for f in near])
-    e[1:] += left[:-1]
-    e[2:] += left2[:-2]
-    e[:-1] += right[1:]
+def emissions(m: Crf, own: np.ndarray, near: np.ndarray, kind: int) -> np.ndarray:
+    e = m.own[own].sum(1) + m.file[kind]
+    e[1:] += m.before[near[:-1]].sum(1)
+    e[2:] += m.before2[near[:-2]].sum(1)
+    e[:-1] += m.after[near[1:]].sum(1)
     return e
 
 
-def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
-
-
 def learn(m: Crf, line: tuple, rate: float) -> None:
-    """One step up the gradient of a line's log likelihood: observed less expected features."""
+    """One step up the gradient of a line's log likelihood: observed less expected features, by scaled forward and backward values."""
     own, near, kind, y = line
     e = emissions(m, own, near, kind)
     n = len(e)
-    a, b = np.empty((n, 3)), np.zeros((n, 3))
-    a[0] = m.start + e[0]
-    for t in range(1, n):
-        a[t] = logsum(a[t - 1][:, None] + m.step, 0) + e[t]
-    for t in range(n - 2, -1, -1):
-        b[t] = logsum(m.step + (e[t + 1] + b[t + 1])[None], 1)
-    z = logsum(a[-1], 0)
-    g = -np.exp(a + b - z)
+    p, step, start = np.exp(e - e.max(1, keepdims=True)), np.exp(m.step), np.exp(m.start)
+    a, b, now = np.empty((n, 3)), np.ones((n, 3)), start * p[0]
+    for t in range(n):
+        if t:
+            now = (now @ step) * p[t]
+        now = now / now.sum()
+        a[t] = now
+    ahead, now = np.empty((n, 3)), np.ones(3)
+    for t in range(n - 1, 0, -1):
+        ahead[t] = p[t] * now
+        now = step @ ahead[t]
+        now = now / now.sum()
+        b[t - 1] = now
+    both = a * b
+    g = -both / both.sum(1, keepdims=True)
     g[np.arange(n), y] += 1
     g *= rate
     if n > 1:
-        pair = np.exp(a[:-1, :, None] + m.step[None] + (e[1:] + b[1:])[:, None, :] - z)
-        step = -pair.sum(0)
-        np.add.at(step, (y[:-1], y[1:]), 1)
-        m.step += rate * step
+        pair = a[:-1, :, None] * step * ahead[1:, None, :]
+        moved = -(pair / pair.sum((1, 2), keepdims=True)).sum(0)
+        np.add.at(moved, (y[:-1], y[1:]), 1)
+        m.step += rate * moved
         m.step[O, I] = -20.0  # inside follows begin or inside alone
     m.start += g[0]
+    m.start[I] = -20.0
     m.file[kind] += g.sum(0)
-    for t in range(n):
-        m.own[own[t]] += g[t]
-        if t + 1 < n:
-            m.before[near[t]] += g[t + 1]
-        if t + 2 < n:
-            m.before2[near[t]] += g[t + 2]
-        if t:
-            m.after[near[t]] += g[t - 1]
+    for table, at, grad in ((m.own, own, g), (m.before, near[:-1], g[1:]), (m.before2, near[:-2], g[2:]), (m.after, near[1:], g[:-1])):
+        np.add.at(table, at.ravel(), np.repeat(grad, at.shape[1], 0))
 
 
 def sampled(docs: DataFrame, most_texts: int) -> list[str]:
@@ -132,7 +146,7 @@ def sampled(docs: DataFrame, most_texts: int) -> list[str]:
     return [r["text"] for r in sorted(some.toLocalIterator(), key=lambda r: (r["h"], r["text"]))][: 2 * most_texts]
 
 
-def train(docs: DataFrame, most_texts: int = 2000, passes: int = 4, plain_lines: int = 1000, blind: float = 0.3) -> Crf:
+def train(docs: DataFrame, most_texts: int = 2000, passes: int = 4, plain_lines: int = 1000, blind: float = 0.5) -> Crf:
     """Learns from pieces of lines (200 tokens at most) with a match, and plain_lines without one, of about most_texts texts of the lowest id hashes.
 
     In a part `blind` of the lines the words around a token count for
@@ -161,19 +175,20 @@ def train(docs: DataFrame, most_texts: int = 2000, passes: int = 4, plain_lines:
                 for t in toks:
                     if t[0] not in seen:
                         seen[t[0]] = traits(t[0])
-                own, near = zip(*(seen[t[0]] for t in toks))
+                own, near = (np.array(x) for x in zip(*(seen[t[0]] for t in toks)))
                 if (y != O).any():
                     lines.append((own, near, kind, y))
                 elif len(plain) < plain_lines:
                     plain.append((own, near, kind, y))
     lines += plain if lines else []
     order = np.random.default_rng(0)
+    often = np.repeat(np.arange(len(lines)), [FOUND_TIMES if (y != O).any() else 1 for *_, y in lines])
     for p in range(passes):
-        for i in order.permutation(len(lines)):
+        for i in order.permutation(often):
             own, near, kind, y = lines[i]
             if order.random() < blind:
-                near = [BLIND] * len(own)
-            learn(m, (own, near, kind, y), 0.1 / (1 + p))
+                near = np.full_like(near, BLIND)
+            learn(m, (own, near, kind, y), 0.2 / (1 + p))
     for table in (m.before, m.before2, m.after):
         table[BLIND] = 0.0
     if not lines:
@@ -193,28 +208,30 @@ class Tagger:
         self.leave = float(max(s[B, O], s[I, O]) - s[O, O])
         self.begin = float(m.start[B] - m.start[O])
 
-    def id_of(self, token: str) -> int:
-        i = self.ids.get(token)
-        if i is None:
-            own, near = traits(token)
-            m, i = self.m, self.n
-            self.scores[i] = m.own[own].sum(0), m.before[near].sum(0), m.before2[near].sum(0), m.after[near].sum(0)
-            self.ids[token] = i
-            self.n += 1
-        return i
+    def admit(self, tokens: list[str]) -> None:
+        """Scores of the tokens that aren't known yet, all at once."""
+        new = [t for t in dict.fromkeys(tokens) if t not in self.ids]
+        if self.n + len(new) > len(self.scores):
+            self.ids, self.n, new = {}, 0, list(dict.fromkeys(tokens))
+            if len(new) > len(self.scores):
+                self.scores = np.zeros((2 * len(new), 4, 3))
+        if not new:
+            return
+        own, near = (np.array(x) for x in zip(*map(traits, new)))
+        m, at = self.m, slice(self.n, self.n + len(new))
+        for i, (table, f) in enumerate(((m.own, own), (m.before, near), (m.before2, near), (m.after, near))):
+            self.scores[at, i] = table[f].sum(1)
+        self.ids.update(zip(new, range(self.n, self.n + len(new))))
+        self.n += len(new)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         out, at, kind = [], 0, file_kind(text)
-        for line in text.split("\n"):
-            tokens = TOKEN.findall(line)
+        lines = text.split("\n")
+        split = [TOKEN.findall(line) for line in lines]
+        self.admit([t for tokens in split for t in tokens])
+        for line, tokens in zip(lines, split):
             if tokens:
-                if self.n + len(tokens) > CACHE:
-                    self.ids, self.n = {}, 0
-                    if len(tokens) > CACHE:
-                        self.scores = np.zeros((2 * len(tokens), 4, 3))
-                get = self.ids.get
-                ids = [i if (i := get(t)) is not None else self.id_of(t) for t in tokens]
-                s = self.scores[ids]
+                s = self.scores[list(map(self.ids.__getitem__, tokens))]
                 e = s[:, 0] + self.m.file[kind]
                 e[1:] += s[:-1, 1]
                 e[2:] += s[:-2, 2]
