@@ -184,7 +184,9 @@ def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_
     share = (top_c + add) / (top_c + add).sum()
     vocab = sc.broadcast(table)  # most_words words
     seed = np.random.default_rng(0)
-    first = train.orderBy(id_hash(F.col("doc_id"))).limit(sample_texts).select("text").collect()
+    h = id_hash(F.col("doc_id"), 40)  # texts beyond the bound never leave their task
+    first = train.where(h < int(min(1.0, sample_texts / max(n_texts, 1)) * (1 << 40)) + (n_texts <= sample_texts)).select(h.alias("h"), "text").collect()
+    first.sort(key=lambda r: (r["h"], r["text"] or ""))
     seqs = [symbols_of(doc_words(r["text"]), table, rare, end) for r in first]
     model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.05 / states) + 0.95 * np.eye(states), share[:, None] * seed.uniform(0.5, 1.5, (size, states)))
     model = Hmm(model.start, model.step, model.emit / model.emit.sum(0))
@@ -229,4 +231,5 @@ def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_
 
 
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of documents; see hmm_scores."""
     return hmm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
