@@ -3,9 +3,9 @@
 Every node of the tree is cut along its widest dimension at the point that
 splits its bytes in proportion to the shards on either side. The point is found
 by histograms that refine only the bucket holding it, so no row is sorted.
-Rows with one value of the dimension are told apart by the text's crc32 and,
-where one text alone is too heavy, by a hash of the id; equal texts stay
-together otherwise.
+Equal texts are one point of the tree, at the least metadata of their rows.
+Points with one value of the dimension are told apart by the text's crc32; only
+where one text alone is too heavy, its rows are told apart by a hash of the id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, id_hash
+from lattica.llm.common import Scratch, id_hash, small_join
 
 VALUE_BITS, CRC_BITS, ID_BITS = 30, 32, 48
 #: Rows of a run of slots; runs are numbered side by side.
@@ -34,8 +34,9 @@ def kd_shards(docs: DataFrame, n_shards: int = 8, dimensions: Mapping[str, Colum
     The target of a leaf is a shard's share of all bytes (UTF-8 length plus 1;
     a null text counts as empty). A cut is refined until the bucket that holds
     it weighs at most `tolerance` of the target, or is one id of one text.
-    Rows that agree in everything go to one side. Slots number a shard's rows
-    from 0 by id hash, id and text crc32; rows that agree in all of these are
+    Rows that agree in everything go to one side; groups are equal texts, known
+    by size and crc32, and stay whole but for one that alone outweighs a cut. Slots number a shard's rows
+    from 0 by a hash of id and text, id and text crc32; rows that agree in all of these are
     interchangeable. Null metadata is the least value of its dimension; a
     dimension with one value is never cut before another one. An empty table
     gives an empty result. Other columns of docs are ignored.
@@ -54,7 +55,11 @@ def kd_shards(docs: DataFrame, n_shards: int = 8, dimensions: Mapping[str, Colum
         low, wide = ends[f"min_{n}"] or 0.0, (ends[f"max_{n}"] or 0.0) - (ends[f"min_{n}"] or 0.0)
         at = F.floor((F.col(n) - low) / (wide or 1.0) * steps).cast("long") + 1
         scaled.append(F.coalesce(at, F.lit(0).cast("long")).alias(n))
-    tree = scratch.save(slim.select("doc_id", "size", "crc", "idh", *scaled, F.lit(0).alias("node")))
+    # rows of texts that occur once need no lookup: only repeated ones get their group's point
+    rows = slim.select("doc_id", "size", "crc", "idh", *scaled)
+    groups = rows.groupBy("size", "crc").agg(F.count("*").alias("__m"), *(F.min(n).alias(f"g_{n}") for n in raw)).where("__m > 1").drop("__m")
+    rows = small_join(rows, groups, ["size", "crc"], "left")
+    tree = scratch.save(rows.select("doc_id", "size", "crc", "idh", *(F.coalesce(f"g_{n}", n).alias(n) for n in raw), F.lit(0).alias("node")))
     scratch.drop(slim)
     parts = {0: n_shards}  # node, named by its first shard: shards below it
     while any(m > 1 for m in parts.values()):
@@ -122,10 +127,12 @@ def with_slots(rows: DataFrame) -> DataFrame:
 
     The number of runs follows the number of rows, so that a run stays as
     large at any size; the join with the offsets reuses the runs' partitioning.
-    A run grows beyond that only by rows of one id.
+    Rows of one id differ in size and crc32, which take part in the run's hash;
+    only rows that agree in all of these share a run however many they are.
     """
-    runs = max(1, rows.count() // (RUN_ROWS * 8))
+    runs = max(1, rows.count() // (RUN_ROWS * 2))
     bits = max(0, (runs - 1).bit_length())
+    rows = rows.withColumn("idh", F.shiftrightunsigned(F.xxhash64("idh", "text_crc32", "size"), 64 - ID_BITS))
     rows = rows.withColumn("run", F.shiftright("idh", ID_BITS - bits) if bits else F.lit(0).cast("long"))
     sizes = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,5 +142,6 @@ def with_slots(rows: DataFrame) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents in shards 0 to 7 under the law of bytes; see kd_shards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     return kd_shards(docs).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
