@@ -28,7 +28,10 @@ from lattica.llm.common import id_hash
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
-TOKEN = re.compile(r"\w+|[^\w\s]")
+TOKEN, TOKEN_OR_LINE = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w+|[^\w\s]|\n")
+#: A text without any of these has no match of the first pattern.
+WORDS_OF_ASSIGN = ("passw", "secret", "token", "apikey", "api_key")
+IS_HEX = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 B, I, O = range(3)
 RUNS, KINDS_OF = re.compile(r"(.)\1+"), str.maketrans({**{c: "x" for c in string.ascii_lowercase}, **{c: "X" for c in string.ascii_uppercase}, **{c: "0" for c in string.digits}})
 BITS, FILES, CACHE = 18, 8, 300_000
@@ -40,9 +43,14 @@ BLIND = (1 << BITS) - 1
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret itself) of the patterns' matches, by start, then kind."""
-    out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
+    # plain substring tests spare most texts the slower patterns
+    low, out = text.lower(), []
+    if any(w in low for w in WORDS_OF_ASSIGN):
+        out += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    if b"h" * 24 in text.encode("utf-8", "surrogatepass").translate(IS_HEX):
+        out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     return sorted(out)
 
 
@@ -64,20 +72,23 @@ _OWN: dict = {}
 
 def traits(token: str) -> tuple[tuple, tuple]:
     """Hashed features of a token for its own place, and for its neighbours' places."""
-    kinds, n = kinds_of(token), min(len(token), 40)
+    low, n = token.lower(), min(len(token), 40)
     plain = token.isalpha()
+    # most tokens are words whose shape needs no pattern
+    kinds = ("x" if token == low else "Xx" if n > 1 and token[1:] == low[1:] else kinds_of(token)) if plain and token.isascii() else kinds_of(token)
     if plain or n < 6:
         entropy, mixed = -1, False  # words and short tokens are told apart by shape and length alone
     else:
         entropy = int(-2 * sum(c / len(token) * math.log2(c / len(token)) for c in Counter(token).values()))
         mixed = "0" in kinds and any(c in kinds for c in "xXa")
-    key = (kinds[:8], n, entropy, mixed, min(len(kinds), 12), not token.strip("0123456789abcdef"))
-    own = _OWN.get(key)
-    if own is None:
+    key = (kinds, n, entropy, mixed, not token.strip("0123456789abcdef"))
+    found = _OWN.get(key)
+    if found is None:
         if len(_OWN) > CACHE:
             _OWN.clear()
-        own = _OWN[key] = tuple(map(code, (f"s{key[0]}", f"l{n // 4}", f"e{entropy}", f"m{mixed}{min(n, 24) // 8}", f"c{key[4]}", f"x{key[5]}{min(n, 24) // 8}")))
-    return own, (code(f"w{token.lower()}" if n <= 16 and not mixed else "long"), code(f"s{kinds[:4]}"))
+        own = tuple(map(code, (f"s{kinds[:8]}", f"l{n // 4}", f"e{entropy}", f"m{mixed}{min(n, 24) // 8}", f"c{min(len(kinds), 12)}", f"x{key[4]}{min(n, 24) // 8}")))
+        found = _OWN[key] = own, code(f"s{kinds[:4]}")
+    return found[0], (code("w" + low) if n <= 16 and not mixed else code("long"), found[1])
 
 
 def file_kind(text: str) -> int:
@@ -146,7 +157,7 @@ def sampled(docs: DataFrame, most_texts: int) -> list[str]:
     return [r["text"] for r in sorted(some.toLocalIterator(), key=lambda r: (r["h"], r["text"]))][: 2 * most_texts]
 
 
-def train(docs: DataFrame, most_texts: int = 2000, passes: int = 4, plain_lines: int = 1000, blind: float = 0.5) -> Crf:
+def train(docs: DataFrame, most_texts: int = 2000, passes: int = 3, plain_lines: int = 1000, blind: float = 0.5) -> Crf:
     """Learns from pieces of lines (200 tokens at most) with a match, and plain_lines without one, of about most_texts texts of the lowest id hashes.
 
     In a part `blind` of the lines the words around a token count for
@@ -225,30 +236,38 @@ class Tagger:
         self.n += len(new)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        out, at, kind = [], 0, file_kind(text)
-        lines = text.split("\n")
-        split = [TOKEN.findall(line) for line in lines]
-        self.admit([t for tokens in split for t in tokens])
-        for line, tokens in zip(lines, split):
-            if tokens:
-                s = self.scores[list(map(self.ids.__getitem__, tokens))]
-                e = s[:, 0] + self.m.file[kind]
-                e[1:] += s[:-1, 1]
-                e[2:] += s[:-2, 2]
-                e[:-1] += s[1:, 3]
-                # tags other than outside can win only if some token gains more than it loses: each brings its score, its way in and its part of the way out
-                gain = np.maximum(e[:, B], e[:, I]) - e[:, O] + max(0.0, self.leave) + self.enter
-                gain[0] += max(0.0, self.begin - self.enter)
-                if gain.max() > 0:
-                    tags = self.best(e)
-                    if (tags != O).any():
-                        where = [(t.start(), t.end()) for t in TOKEN.finditer(line)]
-                        for i in np.flatnonzero(tags == B):
-                            j = i
-                            while j + 1 < len(tags) and tags[j + 1] == I:
-                                j += 1
-                            out.append((at + where[i][0], at + where[j][1]))
-            at += len(line) + 1
+        """All lines are scored at once; only those whose best tags may not all be outside are decoded."""
+        tokens = TOKEN_OR_LINE.findall(text)
+        self.admit(tokens)
+        ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+        ends = ids == self.ids.get("\n", -1)
+        line, ids = np.cumsum(ends)[~ends], ids[~ends]
+        if not len(ids):
+            return []
+        s = self.scores[ids]
+        e = s[:, 0] + self.m.file[file_kind(text)]
+        one, two = (line[1:] == line[:-1])[:, None], (line[2:] == line[:-2])[:, None]
+        e[1:] += s[:-1, 1] * one
+        e[2:] += s[:-2, 2] * two
+        e[:-1] += s[1:, 3] * one
+        # tags other than outside can win only if some token gains more than it loses: each brings its score, its way in and its part of the way out
+        gain = np.maximum(e[:, B], e[:, I]) - e[:, O] + max(0.0, self.leave) + self.enter
+        gain[np.concatenate(([True], ~one[:, 0]))] += max(0.0, self.begin - self.enter)
+        open_ = np.unique(line[gain > 0])
+        if not len(open_):
+            return []
+        out, lines = [], text.split("\n")
+        at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))
+        for k in open_.tolist():
+            lo, hi = np.searchsorted(line, (k, k + 1))
+            tags = self.best(e[lo:hi])
+            if (tags != O).any():
+                where = [(t.start(), t.end()) for t in TOKEN.finditer(lines[k])]
+                for i in np.flatnonzero(tags == B).tolist():
+                    j = i
+                    while j + 1 < len(tags) and tags[j + 1] == I:
+                        j += 1
+                    out.append((int(at[k]) + where[i][0], int(at[k]) + where[j][1]))
         return out
 
     def best(self, e: np.ndarray) -> np.ndarray:
