@@ -33,7 +33,8 @@ def kd_shards(docs: DataFrame, n_shards: int = 8, dimensions: Mapping[str, Colum
 
     The target of a leaf is a shard's share of all bytes (UTF-8 length plus 1;
     a null text counts as empty). A cut is refined until the bucket that holds
-    it weighs at most `tolerance` of the target, or is one id of one text.
+    it weighs at most `tolerance` of the target, or is one text of at most the
+    target, or one id of a heavier text.
     Rows that agree in everything go to one side; groups are equal texts, known
     by size and crc32, and stay whole but for one that alone outweighs a cut. Slots number a shard's rows
     from 0 by a hash of id and text, id and text crc32; rows that agree in all of these are
@@ -63,7 +64,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 8, dimensions: Mapping[str, Colum
     scratch.drop(slim)
     parts = {0: n_shards}  # node, named by its first shard: shards below it
     while any(m > 1 for m in parts.values()):
-        cuts = median_cuts(spark, tree, list(raw), parts, tolerance * target)
+        cuts = median_cuts(spark, tree, list(raw), parts, tolerance * target, target)
         new = scratch.save(tree.join(F.broadcast(cuts), "node", "left").withColumn("node", right_side(list(raw))).select(*tree.columns))
         scratch.drop(tree)
         tree = new
@@ -83,7 +84,7 @@ def right_side(names: list[str]) -> Column:
     return F.when(F.col("dim").isNotNull() & right, F.col("node") + F.col("left_parts")).otherwise(F.col("node")).cast("int")
 
 
-def median_cuts(spark: SparkSession, tree: DataFrame, names: list[str], parts: dict[int, int], fine: float) -> DataFrame:
+def median_cuts(spark: SparkSession, tree: DataFrame, names: list[str], parts: dict[int, int], fine: float, heavy: float) -> DataFrame:
     """One row per node to be cut: dim, key_cut and id_cut (the first key on the right), left_parts. The driver holds a row per shard at most."""
     open_nodes = [n for n, m in parts.items() if m > 1]
     wide = tree.where(F.col("node").isin(open_nodes)).groupBy("node").agg(F.sum("size").alias("total"), *((F.max(n) - F.min(n)).alias(n) for n in names)).collect()
@@ -114,7 +115,8 @@ def median_cuts(spark: SparkSession, tree: DataFrame, names: list[str], parts: d
             goal = s["want"] - s["below"]
             s["below"] += upto - n
             s[f"{what}_low"] = bucket << shift
-            if n <= fine or (what, shift) == ("id", 0):
+            # one text is cut by its rows' ids only if it weighs more than a shard
+            if n <= fine or (what, shift) == ("id", 0) or ((what, shift) == ("key", 0) and n <= heavy):
                 s["done"] = True
                 if goal - (upto - n) > n / 2:  # the whole bucket goes left
                     s[f"{what}_low"] = (bucket + 1) << shift
