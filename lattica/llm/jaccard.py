@@ -202,16 +202,18 @@ def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) ->
     """jaccard_classes with the name of the id column free, and comp, the component itself: null without shingles."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(key).alias("doc_id"), "text")
-    sets = scratch.save(sets_of(docs, k))
+    sets = scratch.save(sets_of(docs, k).withColumn("row", F.monotonically_increasing_id()))
     marks = spark.sparkContext.broadcast(shared_marks(sets, scratch))  # 2^MAP_BITS bits
     posts = posts_of(sets, marks, percent).repartition("t")
     # a class can come once a task; copies only make this filter let more through
     shared = posts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
     live = scratch.save(posts.join(shared, "t", "left_semi").distinct())
+    del posts, shared  # their plans own the largest shuffle files
     release(spark)
-    needed = scratch.save(live.select("c").distinct())
+    # one row per class that has a partner: rows are picked by number, so that no set is shuffled
+    needed = scratch.save(sets.select("c", "row").join(live.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("row").alias("row")).select("row"))
     few = needed.count() <= BROADCAST_NEEDED
-    frags = scratch.save(fragments_of(sets.join(F.broadcast(needed) if few else needed, "c", "left_semi").dropDuplicates(["c"]), marks))
+    frags = scratch.save(fragments_of(sets.join(F.broadcast(needed) if few else needed, "row", "left_semi"), marks))
     members = scratch.save(sets.select("doc_id", F.when(F.col("n") > 0, F.col("c")).alias("c"), F.col("n").alias("n_shingles")))
     scratch.drop(sets, needed)
     marks.destroy()
