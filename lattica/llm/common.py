@@ -62,8 +62,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/") if at else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lattica-scratch"
 
 
+#: Spark deletes the shuffle files of a statement as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Parquet tables in the shared folder: they cut lineage and outlive lost executors."""
+    """Parquet tables in the shared folder: they cut lineage and outlive lost executors.
+
+    A table's shuffle files go when it is written: nothing reads them again.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
@@ -71,13 +78,18 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.lattica_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that are no longer read, and lets Spark drop their shuffle files."""
+        """Deletes tables that are no longer read, and lets the driver forget their plans."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df.lattica_path)
@@ -86,7 +98,7 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files stay until the driver collects the plans that own them."""
+    """Broadcasts and the shuffle files of statements that save nothing stay until the driver collects their plans."""
     import gc
 
     gc.collect()
