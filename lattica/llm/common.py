@@ -64,6 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark deletes the shuffle files of a statement as soon as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Scratch:
@@ -72,18 +73,22 @@ class Scratch:
     A table's shuffle files go when it is written: nothing reads them again.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None):
+        """batch_rows bounds the rows of an Arrow batch while a table is written, and so what lies outside the heap."""
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.settings = {CLEANUP: "true"} | ({} if batch_rows is None else {BATCH: str(batch_rows)})
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.lattica_path = path
         return out

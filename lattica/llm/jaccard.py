@@ -31,6 +31,8 @@ MAP_BITS = 26
 FRAGMENTS = 4
 #: Classes, of eight bytes each, that may be broadcast to filter the sets.
 BROADCAST_NEEDED = 1_000_000
+#: Rows of an Arrow batch: sets are wide, and batches lie outside the executors' heap.
+BATCH_ROWS = 500
 #: Hubs of a list, drawn by as many hashes, so that a group whose members are similar by chance becomes one component.
 HUB_ROUNDS, HUBS = 2, 6
 
@@ -200,7 +202,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) -> DataFrame:
     """jaccard_classes with the name of the id column free, and comp, the component itself: null without shingles."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard", BATCH_ROWS)
     docs = docs.select(F.col(key).alias("doc_id"), "text")
     sets = scratch.save(sets_of(docs, k).withColumn("row", F.monotonically_increasing_id()))
     marks = spark.sparkContext.broadcast(shared_marks(sets, scratch))  # 2^MAP_BITS bits
