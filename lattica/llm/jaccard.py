@@ -206,10 +206,11 @@ def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) ->
     docs = docs.select(F.col(key).alias("doc_id"), "text")
     sets = scratch.save(sets_of(docs, k).withColumn("row", F.monotonically_increasing_id()))
     marks = spark.sparkContext.broadcast(shared_marks(sets, scratch))  # 2^MAP_BITS bits
-    posts = posts_of(sets, marks, percent).repartition("t")
+    posts = posts_of(sets, marks, percent)
     # a class can come once a task; copies only make this filter let more through
-    shared = posts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
+    shared = scratch.save(posts.select("t").repartition("t").groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t"))
     live = scratch.save(posts.join(shared, "t", "left_semi").distinct())
+    scratch.drop(shared)
     # one row per class that has a partner: rows are picked by number, so that no set is shuffled
     needed = scratch.save(sets.select("c", "row").join(live.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("row").alias("row")).select("row"))
     few = needed.count() <= BROADCAST_NEEDED
