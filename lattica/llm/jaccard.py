@@ -31,6 +31,8 @@ MAP_BITS = 26
 FRAGMENTS = 4
 #: Classes, of eight bytes each, that may be broadcast to filter the sets.
 BROADCAST_NEEDED = 1_000_000
+#: 64-bit words of a sketch: bit i is the parity of a set's shingles that fall on i.
+SKETCH = 16
 #: Rows of an Arrow batch: sets are wide, and batches lie outside the executors' heap.
 BATCH_ROWS = 500
 #: Hubs of a list, drawn by as many hashes, so that a group whose members are similar by chance becomes one component.
@@ -126,8 +128,14 @@ def posts_of(sets: DataFrame, marks, percent: int) -> DataFrame:
     return sets.select("c", "n", "h").mapInArrow(run, "t long, c long, n int, p int, u int")
 
 
+def sketch_of(h: np.ndarray) -> np.ndarray:
+    """Where two sketches differ, a shingle stands in one set only, so the sets differ in at least as many shingles."""
+    bits = np.bincount((h >> 32) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def fragments_of(sets: DataFrame, marks) -> DataFrame:
-    """(c, n, k, f0, f1, ..): of each class, its shingles by fragment (the first one for marked ones, the others hash ranges) and their numbers."""
+    """(c, n, s, k, f0, f1, ..): of each class, its sketch, its shingles by fragment (the first one for marked ones, the others hash ranges) and their numbers."""
     names = [f"f{i}" for i in range(FRAGMENTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +145,12 @@ def fragments_of(sets: DataFrame, marks) -> DataFrame:
                 h = np.frombuffer(raw, np.int64)
                 frag = ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int32) + 1
                 frag[is_shared(h, marks.value)] = 0
-                rows.append((c, n, np.bincount(frag, minlength=FRAGMENTS), *(h[frag == i] for i in range(FRAGMENTS))))
-            cols = list(zip(*rows)) if rows else [()] * (3 + FRAGMENTS)
-            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * (1 + FRAGMENTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["c", "n", "k", *names])
+                rows.append((c, n, sketch_of(h), np.bincount(frag, minlength=FRAGMENTS), *(h[frag == i] for i in range(FRAGMENTS))))
+            cols = list(zip(*rows)) if rows else [()] * (4 + FRAGMENTS)
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * (2 + FRAGMENTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["c", "n", "s", "k", *names])
 
-    return sets.select("c", "n", "h").mapInArrow(run, "c long, n long, k array<long>, " + ", ".join(f"{x} array<long>" for x in names))
+    return sets.select("c", "n", "h").mapInArrow(run, "c long, n long, s array<long>, k array<long>, " + ", ".join(f"{x} array<long>" for x in names))
 
 
 def verified(pairs: DataFrame, frags: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -175,15 +183,26 @@ def can_reach(percent: int, x: tuple[Column, Column, Column], y: tuple[Column, C
     return (100 + percent) * F.least(n - p, m - q, F.least(n - u, m - v) + F.least(u, v)) >= percent * (n + m)
 
 
-def candidates(live: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's rows across components that can be similar enough, but for those of its largest component with itself."""
-    slim = live.select("t", "c", "n", "p", "u", "comp")
+def sketches_allow(percent: int, s: Column, r: Column, both: Column) -> Column:
+    """Whether sets with these sketches and this sum of sizes can be similar enough: at the threshold they differ in (100 - percent) / (100 + percent) of it."""
+    apart = sum((F.bit_count(s[i].bitwiseXOR(r[i])) for i in range(1, SKETCH)), F.bit_count(s[0].bitwiseXOR(r[0])))
+    return (100 + percent) * apart <= (100 - percent) * both
+
+
+def candidates(live: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list's rows across components that can be similar enough, but for those of its largest component with itself.
+
+    Most pairs of a loose group of near copies are just below the threshold;
+    sizes and places let them through, the sketches (c, s) hardly any.
+    """
+    slim = live.select("t", "c", "n", "p", "u", "comp").join(sketches, "c")
     per = slim.groupBy("t", "comp").agg(F.count("*").alias("m"))
     top = per.groupBy("t").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
     sides = [slim.select(*(F.col(c).alias(f"{c}{i}") for c in slim.columns)) for i in (1, 2)]
     left = sides[0].join(top.withColumnRenamed("t", "t1"), "t1").where("comp1 <> most")
     apart = (F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("most")) | (F.col("comp1") < F.col("comp2")))
     near = can_reach(percent, *((F.col(f"n{i}"), F.col(f"p{i}"), F.col(f"u{i}")) for i in (1, 2)))
+    near = near & sketches_allow(percent, F.col("s1"), F.col("s2"), F.col("n1") + F.col("n2"))
     return left.join(sides[1], (F.col("t1") == F.col("t2")) & apart & near).select(F.col("c1").alias("x"), F.col("c2").alias("y"))
 
 
@@ -230,7 +249,7 @@ def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) ->
         new = scratch.save(rows.join(mixed, "t").withColumn("hubs", near if step < HUB_ROUNDS else F.lit(None)))  # only lists with several components go on
         scratch.drop(live)
         live = new
-        pairs = live.select(F.explode("hubs").alias("x"), F.col("c").alias("y")) if step < HUB_ROUNDS else candidates(live, percent)
+        pairs = live.select(F.explode("hubs").alias("x"), F.col("c").alias("y")) if step < HUB_ROUNDS else candidates(live, frags.select("c", "s"), percent)
         pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if pairs.isEmpty():  # of a hub round, this says nothing about pairs without a hub
             scratch.drop(pairs)

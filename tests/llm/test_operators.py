@@ -57,6 +57,30 @@ def test_jaccard_links_copies_whose_lists_have_a_far_larger_hub(spark):
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2}
 
 
+def test_jaccard_verifies_few_pairs_of_a_loose_group(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(145)]
+    texts = [base]
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.randrange(9)):
+            w[at] = f"e{i}_{at}"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    made, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in got.collect()} == low
+    assert len(set(low.values())) > 50  # many texts are just below the threshold to all others
+    assert sum(made) <= 10 * len(rows)
+
+
 def test_pivots_find_every_link_and_bad_vectors_have_none(spark):
     r = random.Random(2)
     rows = []
