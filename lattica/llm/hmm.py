@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import Scratch, doc_words, held_out, id_hash, small_join
+from lattica.llm.jaccard import pieces
 
-LANES = 1024
+#: Sequences and symbols that are worked on at once; a symbol costs two doubles a state.
+LANES, TOKENS = 4096, 1 << 19
+#: Symbols in order of position, and where the positions begin: position t of all lanes that reach it, the longest first.
+Grid = tuple[np.ndarray, np.ndarray]
+#: Texts of which a task holds the words at once.
+TEXTS = 500
 
 
 @dataclass
@@ -30,58 +37,74 @@ class Hmm:
     emit: np.ndarray  # symbols x states
 
 
-def lanes(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sequences of similar length side by side: (indices, symbols by position with -1 beyond an end)."""
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
+def lanes(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, Grid]]:
+    """Sequences of similar length side by side, in groups of at most LANES and, but for a longer one alone, TOKENS symbols: (indices, grid)."""
+    sizes = np.array([len(s) for s in seqs], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    ends = np.cumsum(sizes[order])
     at = 0
     while at < len(order):
-        longest = len(seqs[order[at]])
-        idx = order[at : at + max(1, min(LANES, (1 << 20) // max(1, longest)))]
-        grid = np.full((longest, len(idx)), -1, np.int32)
+        within = int(np.searchsorted(ends, TOKENS + (ends[at - 1] if at else 0), "right"))
+        idx = order[at : max(at + 1, min(at + LANES, within))]
+        width = len(idx) - np.searchsorted(sizes[idx][::-1], np.arange(sizes[idx[0]]), "right")
+        bounds = np.concatenate(([0], np.cumsum(width)))
+        flat = np.empty(bounds[-1], np.int32)
         for j, i in enumerate(idx):
-            grid[: len(seqs[i]), j] = seqs[i]
-        yield idx, grid
+            flat[bounds[: sizes[i]] + j] = seqs[i]
+        yield idx, (flat, bounds)
         at += len(idx)
 
 
-def forward(m: Hmm, grid: np.ndarray, keep: bool = False):
-    """Natural log likelihood per lane; with keep also the scaled forward values and scales."""
-    width, ones = (grid >= 0).sum(1), np.ones(len(m.start))
-    total, kept, scales = np.zeros(grid.shape[1]), [], []
-    alpha = np.repeat(m.start[None], grid.shape[1], 0)
-    for t in range(len(grid)):
-        n = width[t]  # lanes are sorted by length
-        alpha = (alpha[:n] if t == 0 else alpha[:n] @ m.step) * m.emit[grid[t, :n]]
-        scale = alpha @ ones
-        alpha = alpha / scale[:, None]
-        total[:n] += np.log(scale)
-        if keep:
-            kept.append(alpha)
-            scales.append(scale)
-    return (total, kept, scales) if keep else total
-
-
-def expected(m: Hmm, grid: np.ndarray, counts: list) -> float:
+def forward(m: Hmm, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By symbol of the grid: its emissions, the scaled forward values, and one over the scale."""
+    flat, bounds = grid
+    ones = np.ones(len(m.start))
+    em = np.take(m.emit, flat, 0)
+    alpha, inverse = np.empty_like(em), np.empty(len(flat))
+    before = alpha
+    for t in range(len(bounds) - 1):
+        lo, hi = bounds[t], bounds[t + 1]
+        now, scale = alpha[lo:hi], inverse[lo:hi]
+        if t == 0:
+            now[:] = m.start
+        else:
+            np.matmul(before[: hi - lo], m.step, out=now)  # lanes go by length
+        now *= em[lo:hi]
+        np.matmul(now, ones, out=scale)
+        np.reciprocal(scale, out=scale)
+        now *= scale[:, None]
+        before = now
+    return em, alpha, inverse
+
+
+def likelihoods(m: Hmm, grid: Grid) -> np.ndarray:
+    """Natural log likelihood per lane."""
+    bounds, logs = grid[1], -np.log(forward(m, grid)[2])
+    total = np.zeros(bounds[1])
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        total[: hi - lo] += logs[lo:hi]
+    return total
+
+
+def expected(m: Hmm, grid: Grid, counts: list) -> float:
     """Adds a grid's expected starts, steps and emissions to counts; returns its log likelihood."""
-    total, kept, scales = forward(m, grid, True)
+    (flat, bounds), (em, alpha, inverse) = grid, forward(m, grid)
     start, step, emit = counts
-    beta, symbols, weights = np.ones((0, len(m.start))), [], []
-    for t in range(len(grid) - 1, -1, -1):
-        alpha, n = kept[t], len(kept[t])
-        now = np.ones((n, len(m.start)))
-        if len(beta):
-            k = len(beta)
-            ahead = beta * m.emit[grid[t + 1, :k]] / scales[t + 1][:, None]
-            step += m.step * (alpha[:k].T @ ahead)
-            now[:k] = ahead @ m.step.T
-        beta = now
-        symbols.append(grid[t, :n])
-        weights.append(alpha * beta)
-    start += weights[-1].sum(0)
-    s, w = np.concatenate(symbols), np.concatenate(weights)
+    em *= inverse[:, None]
+    moves, beta, back = np.zeros_like(m.step), np.ones((0, len(m.start))), np.ascontiguousarray(m.step.T)
+    for t in range(len(bounds) - 2, 0, -1):
+        lo, hi = bounds[t], bounds[t + 1]
+        ahead = em[lo:hi]
+        ahead[: len(beta)] *= beta  # beyond a lane's end it is 1
+        weights = alpha[bounds[t - 1] : bounds[t - 1] + hi - lo]
+        moves += weights.T @ ahead
+        beta = ahead @ back
+        weights *= beta
+    step += m.step * moves
+    start += alpha[: bounds[1]].sum(0)
     for z in range(len(m.start)):
-        emit[:, z] += np.bincount(s, w[:, z], len(emit))
-    return float(total.sum())
+        emit[:, z] += np.bincount(flat, alpha[:, z], len(emit))
+    return float(-np.log(inverse).sum())
 
 
 def maximised(counts: list, share: np.ndarray, weight: float = 10.0) -> Hmm:
@@ -97,6 +120,13 @@ def symbols_of(words: list[bytes], table: dict, rare: int, end: int) -> np.ndarr
     return np.array(out, np.int32)
 
 
+def counted(kinds: list[Counter]) -> pa.ListArray:
+    """One list of (w, n) per counter, without a Python object per word and text."""
+    ends = np.cumsum([0] + [len(c) for c in kinds])
+    flat = pa.array(list(chain.from_iterable(kinds)), pa.binary()), pa.array(list(chain.from_iterable(c.values() for c in kinds)), pa.int64())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=["w", "n"]))
+
+
 def zeros(n_symbols: int, states: int) -> list:
     return [np.zeros(states), np.zeros((states, states)), np.zeros((n_symbols, states))]
 
@@ -105,7 +135,7 @@ def coded(texts: DataFrame, vocab, rare: int, end: int) -> DataFrame:
     """(s): each text's symbols as 32-bit integers, so that the rounds don't split words again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, TEXTS):
             raw = [symbols_of(doc_words(t), vocab.value, rare, end).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["s"])
 
@@ -204,17 +234,20 @@ def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [doc_words(t) for t in b.column("text").to_pylist()]
-            seqs = [symbols_of(w, vocab.value, rare, end) for w in words]
-            ll, base, known, others = np.zeros(len(seqs)), np.zeros(len(seqs)), np.zeros(len(seqs), np.int64), []
+            seqs, others = [], [counted([])]
+            for part in pieces([b], TEXTS):
+                words = [doc_words(t) for t in part.column("text").to_pylist()]
+                new = [symbols_of(w, vocab.value, rare, end) for w in words]
+                others.append(counted([Counter(w[j] for j in np.flatnonzero(s == rare)) for w, s in zip(words, new)]))
+                seqs += new
+            ll, base, known = np.zeros(len(seqs)), np.zeros(len(seqs)), np.zeros(len(seqs), np.int64)
             for idx, grid in lanes(seqs):
-                ll[idx] = forward(shared.value, grid) / np.log(10)
-            for i, (w, s) in enumerate(zip(words, seqs)):
+                ll[idx] = likelihoods(shared.value, grid) / np.log(10)
+            for i, s in enumerate(seqs):
                 sure = s[s != rare]
                 base[i], known[i] = base_log[sure].sum(), len(sure) - (n_texts == 0)
-                others.append([{"w": k, "n": n} for k, n in Counter(w[j] for j in np.flatnonzero(s == rare)).items()])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array([len(s) for s in seqs], pa.int64()), pa.array(known), pa.array(base), pa.array(ll), pa.array(others, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))],
+                [b.column("doc_id"), b.column("held_out"), pa.array([len(s) for s in seqs], pa.int64()), pa.array(known), pa.array(base), pa.array(ll), pa.concat_arrays(others)],
                 names=["doc_id", "held_out", "n_tokens", "known", "base", "ll", "others"],
             )
 

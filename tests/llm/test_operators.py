@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -156,6 +157,20 @@ def test_hmm_trains_on_all_texts_until_the_likelihood_stands_still(spark):
     assert seen[-1] - seen[-2] <= 1e-4 * abs(seen[-2]) and all(b - a > 1e-4 * abs(a) for a, b in zip(seen[:-2], seen[1:-1]))
 
 
+def test_hmm_holds_a_bounded_number_of_symbols():
+    r = np.random.default_rng(7)
+    seqs = [r.integers(0, 22, 1000).astype(np.int32) for _ in range(1024)]
+    guess = r.uniform(0.5, 1.5, (22, 6))
+    model, counts = hmm.Hmm(np.full(6, 1 / 6), np.full((6, 6), 1 / 6), guess / guess.sum(0)), hmm.zeros(22, 6)
+    tracemalloc.start()
+    for _, grid in hmm.lanes(seqs):
+        hmm.expected(model, grid, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts[2].sum() == pytest.approx(1024 * 1000)
+    assert peak < 100_000_000  # two doubles a state for 2^19 symbols are 50 MB
+
+
 @pytest.mark.parametrize("operator", [jaccard.jaccard_classes, mixing.mix, sharding.kd_shards, hmm.hmm_scores])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
