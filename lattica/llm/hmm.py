@@ -26,6 +26,8 @@ from lattica.llm.jaccard import pieces
 LANES, TOKENS = 4096, 1 << 19
 #: Symbols in order of position, and where the positions begin: position t of all lanes that reach it, the longest first.
 Grid = tuple[np.ndarray, np.ndarray]
+#: Words behind the shared symbol whose counts every task holds; counts of all others come by a join.
+NEAR_WORDS = 1 << 16
 #: Texts of which a task holds the words at once.
 TEXTS = 500
 
@@ -187,6 +189,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def near_words(counts: DataFrame, table: dict) -> dict:
+    """Counts of the most frequent words beyond table: all with at least some count, NEAR_WORDS with table at most."""
+    least, held = None, 0
+    for r in counts.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():  # at most 2^16 counts
+        held += r["n"]
+        if held > NEAR_WORDS + len(table):
+            break
+        least = r["c"]
+    found = counts.where(F.col("c") >= least).collect() if least else []
+    return {w: c for w, c in ((bytes(r["word"]), r["c"]) for r in found) if w not in table}
+
+
 def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_texts: int = 1500, sample_rounds: int = 10, still: float = 1e-5, add: float = 0.1, fold: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
@@ -230,22 +244,27 @@ def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_
         model, _ = trained(table_of, model, share, still)
         scratch.drop(table_of)
     shared, base_den = sc.broadcast(model), total + add * (kinds + 1)
-    base_log = np.log10((top_c + add) / base_den)
+    base_log, rare_den = np.log10((top_c + add) / base_den), rare_mass + add * (rare_kinds + 1)
+    near = near_words(counts, table)
+    wide = sc.broadcast(table | {w: size + i for i, w in enumerate(near)})  # most_words + NEAR_WORDS words
+    near_c = np.array(list(near.values()), float) + add
+    near_base, near_inside = np.log10(near_c / base_den), np.log10(near_c / rare_den)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seqs, others = [], [counted([])]
+            seqs, others, base, ll, known = [], [counted([])], np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             for part in pieces([b], TEXTS):
                 words = [doc_words(t) for t in part.column("text").to_pylist()]
-                new = [symbols_of(w, vocab.value, rare, end) for w in words]
+                new = [symbols_of(w, wide.value, rare, end) for w in words]
                 others.append(counted([Counter(w[j] for j in np.flatnonzero(s == rare)) for w, s in zip(words, new)]))
+                for i, s in enumerate(new, len(seqs)):
+                    sure, close = s[(s < size) & (s != rare)], s[s >= size] - size
+                    base[i], known[i] = base_log[sure].sum() + near_base[close].sum(), len(sure) + len(close) - (n_texts == 0)
+                    ll[i] = near_inside[close].sum()
+                    s[s >= size] = rare
                 seqs += new
-            ll, base, known = np.zeros(len(seqs)), np.zeros(len(seqs)), np.zeros(len(seqs), np.int64)
             for idx, grid in lanes(seqs):
-                ll[idx] = likelihoods(shared.value, grid) / np.log(10)
-            for i, s in enumerate(seqs):
-                sure = s[s != rare]
-                base[i], known[i] = base_log[sure].sum(), len(sure) - (n_texts == 0)
+                ll[idx] += likelihoods(shared.value, grid) / np.log(10)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array([len(s) for s in seqs], pa.int64()), pa.array(known), pa.array(base), pa.array(ll), pa.concat_arrays(others)],
                 names=["doc_id", "held_out", "n_tokens", "known", "base", "ll", "others"],
@@ -257,7 +276,7 @@ def hmm_scores(docs: DataFrame, states: int = 6, most_words: int = 8192, sample_
     # words behind the shared symbol: none is frequent, so no key of this join is hot
     o = done.select("rid", F.explode("others").alias("o")).select("rid", F.col("o.w").alias("word"), F.col("o.n").alias("n"))
     o = small_join(o, counts, ["word"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    inside = F.log10((F.col("c") + add) / (rare_mass + add * (rare_kinds + 1)))
+    inside = F.log10((F.col("c") + add) / rare_den)
     o = o.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10((F.col("c") + add) / base_den)).alias("b"), F.sum(F.col("n") * inside).alias("s"))
     more = lambda c: F.coalesce(F.col(c), F.lit(0))
     return done.join(o, "rid", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + more("k")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more("b")).alias("base_score"), (F.col("ll") + more("s")).alias("score"))

@@ -171,6 +171,18 @@ def test_hmm_holds_a_bounded_number_of_symbols():
     assert peak < 100_000_000  # two doubles a state for 2^19 symbols are 50 MB
 
 
+def test_hmm_scores_alike_whether_counts_are_held_or_joined(spark, monkeypatch):
+    found = []
+    for near in (0, 50, 1 << 16):
+        monkeypatch.setattr(hmm, "NEAR_WORDS", near)
+        got = hmm.hmm_scores(spark.createDataFrame(corpus(), DOCS), most_words=5, sample_texts=30, still=1e-2)
+        found.append({r.doc_id: r for r in got.collect()})
+    for i, r in found[0].items():
+        for x in (found[1][i], found[2][i]):
+            assert (x.n_known, x.n_tokens) == (r.n_known, r.n_tokens)
+            assert (x.base_score, x.score) == pytest.approx((r.base_score, r.score))
+
+
 @pytest.mark.parametrize("operator", [jaccard.jaccard_classes, mixing.mix, sharding.kd_shards, hmm.hmm_scores])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
