@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lattica.llm.common import Scratch, components, doc_words, shingle_hashes, word_hashes
+from lattica.llm.common import Scratch, components_of_few, doc_words, shingle_hashes, word_hashes
 
 #: Shingles that repeat within a run of CHUNK of them go last in the order, the MOST_MARKED most frequent ones at most.
 CHUNK, MOST_MARKED = 1 << 22, 1 << 21
@@ -258,7 +258,7 @@ def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) ->
         merged = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
         old = [x for x in (links, labels) if x is not None]
         links = scratch.save(merged)
-        labels = scratch.save(components(spark, links, scratch).withColumnRenamed("id", "c"))
+        labels = scratch.save(components_of_few(spark, links, scratch).withColumnRenamed("id", "c"))
         scratch.drop(new, *old)
     scratch.drop(live, frags)
     if labels is None:

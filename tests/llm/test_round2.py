@@ -194,3 +194,21 @@ def test_pipeline_stages_by_row(spark, tmp_path):
 def test_alphabet_keeps_scripts_apart():
     ids = charlm.alphabet_of(["abc"])
     assert ids[ord("の")] != ids[ord("가")] and ids[ord("a")] < charlm.OTHER and ids[ord("!")] == charlm.SPACE
+
+
+def test_few_links_take_few_statements_and_many_the_rounds(spark, monkeypatch):
+    r = random.Random(11)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(-7, 5)]
+    want = {x: x for p in links for x in p}
+    for _ in range(120):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    scratch = common.Scratch(spark, "few")
+    table = scratch.save(spark.createDataFrame(links, "a long, b long"))
+    before = scratch.n
+    got = common.components_of_few(spark, table, scratch)
+    assert scratch.n == before  # the rounds would save a table each
+    assert {x.id: x.component for x in got.collect()} == want
+    monkeypatch.setattr(common, "DRIVER_LINKS", 10)
+    far = {x.id: x.component for x in common.components_of_few(spark, table, scratch).collect()}
+    assert scratch.n > before and all(far.get(x, x) == want[x] for x in want)
