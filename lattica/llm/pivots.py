@@ -81,7 +81,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shared: int = 2, depth:
     links = None
     for r in classes.groupBy("d").count().collect():
         some = classes.where(F.col("d") == r["d"])
-        new = scratch.save(_links(spark, some, r["count"], least, shared, depth, n_pivots or int(np.clip(r["count"] // 32, 64, 2048))))
+        new = scratch.save(_links(spark, scratch, some, least, shared, depth, n_pivots or int(np.clip(r["count"] // 32, 64, 2048))))
         links = new if links is None else links.union(new)
     if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -96,11 +96,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shared: int = 2, depth:
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(spark: SparkSession, classes: DataFrame, count: int, least: float, shared: int, depth: int, n_pivots: int) -> DataFrame:
+def _links(spark: SparkSession, scratch: Scratch, classes: DataFrame, least: float, shared: int, depth: int, n_pivots: int) -> DataFrame:
     points = spark.sparkContext.broadcast(apart(pivots_of(classes, n_pivots), least))  # n_pivots vectors
     tried = classes.select("e").orderBy(F.xxhash64("c", F.lit(1)), F.col("c")).limit(4000).collect()
     depth = depth_for(points.value, unit([r["e"] for r in tried]), least, shared, depth)
-    keys = list(combinations(range(depth), min(shared, depth)))
+    width = min(shared, depth)
+    keys = list(combinations(range(depth), width))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -108,14 +109,25 @@ def _links(spark: SparkSession, classes: DataFrame, count: int, least: float, sh
                 continue
             near = np.sort(np.argsort(-(unit(f["e"].tolist()) @ points.value.T), axis=1, kind="stable")[:, :depth], axis=1)
             code = near.astype(np.int64)
-            yield pd.DataFrame({"c": f["c"], "keys": [[int(sum(int(row[i]) << (12 * j) for j, i in enumerate(k))) for k in keys] for row in code]})
+            found = np.stack([sum(code[:, i] << (12 * j) for j, i in enumerate(k)) for k in keys], 1)
+            yield pd.DataFrame({"c": f["c"], "near": [row.tobytes() for row in near.astype(np.int16)], "keys": list(found)})
 
-    listed = classes.select("c", "e").mapInPandas(describe, "c long, keys array<long>").select("c", F.explode("keys").alias("key"))
+    described = scratch.save(classes.select("c", "e").mapInPandas(describe, "c long, near binary, keys array<long>"))
+    listed = described.select("c", F.explode("keys").alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     placed = listed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks")).cast("int"))
     # every pair of blocks is a group: a row goes to as many groups as there are blocks
     cells = placed.select("c", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("c", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    cells = cells.join(classes.select("c", "e"), "c")
+    cells = cells.join(classes.select("c", "e").join(described.select("c", "near"), "c"), "c")
+
+    def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The least key that two descriptions share: pairs are linked in its list alone."""
+        common = np.zeros(a.shape, bool)
+        for i in range(b.shape[1]):
+            common |= a == b[:, i : i + 1]
+        rank = np.cumsum(common, 1)
+        common &= rank <= width
+        return np.where(common, a.astype(np.int64) << (12 * (rank - 1) * common), 0).sum(1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the last group of a batch can go on in the next one
@@ -135,6 +147,7 @@ def _links(spark: SparkSession, classes: DataFrame, count: int, least: float, sh
             c, block = t.column("c").to_numpy(), t.column("block").to_numpy()
             e = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             x = unit(e.reshape(len(k), -1)[: ends[-1]])
+            near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.int16).reshape(len(k), -1)
             found = []
             for lo, hi in zip(ends, ends[1:]):
                 if hi - lo < 2:
@@ -145,14 +158,16 @@ def _links(spark: SparkSession, classes: DataFrame, count: int, least: float, sh
                 if k[lo, 1] != k[lo, 2]:
                     cross = block[p] != block[q]
                     p, q = p[cross], q[cross]
-                found.append((c[p], c[q]))
+                for at in range(0, len(p), 1 << 16):
+                    y, z = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                    here = first_key(near[y], near[z]) == k[lo, 0]
+                    found.append((c[y[here]], c[z[here]]))
             if found:
                 p, q = (np.concatenate(z) for z in zip(*found))
-                pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
-    keyed = cells.select("key", "i", "j", "c", "block", "e").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return keyed.mapInArrow(compare, "a long, b long").distinct()
+    keyed = cells.select("key", "i", "j", "c", "block", "e", "near").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return keyed.mapInArrow(compare, "a long, b long")
 
 
 def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
