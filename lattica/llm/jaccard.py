@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lattica.llm.common import Scratch, components_of_few, doc_words, shingle_hashes, word_hashes
+from lattica.llm.common import BROADCAST_ROWS, Scratch, components_of_few, doc_words, shingle_hashes, word_hashes
 
 #: Shingles that repeat within a run of CHUNK of them go last in the order, the MOST_MARKED most frequent ones at most.
 CHUNK, MOST_MARKED = 1 << 22, 1 << 21
@@ -153,24 +153,23 @@ def fragments_of(sets: DataFrame, marks) -> DataFrame:
     return sets.select("c", "n", "h").mapInArrow(run, "c long, n long, s array<long>, k array<long>, " + ", ".join(f"{x} array<long>" for x in names))
 
 
-def verified(pairs: DataFrame, frags: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, frags: DataFrame, percent: int, few: bool) -> DataFrame:
     """Pairs (a, b) of classes at or above the threshold, by partial overlaps summed fragment by fragment.
 
     A pair goes as soon as its overlap so far and the smaller sizes of all
-    later fragments can't reach the threshold, so that most pairs never send
-    more than their first fragment.
+    later fragments can't reach the threshold. One statement counts all
+    fragments: nearly all pairs need the last one, and each join sends the
+    sets anew. few: the pairs may be broadcast, so that only their classes are sent.
     """
-    alive = pairs.withColumn("i", F.lit(0).cast("long"))
-    for fragment in range(FRAGMENTS):
-        segs = frags.select("c", "n", F.slice("k", fragment + 2, FRAGMENTS).alias("later"), F.col(f"f{fragment}").alias("h"))
-        left, right = (segs.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("later").alias(f"later{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
-        room = F.aggregate(F.zip_with("latera", "laterb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-        found = alive.join(left, "a").join(right, "b").select("a", "b", (F.col("i") + F.size(F.array_intersect("ha", "hb"))).alias("i"), room.alias("room"), (F.col("na") + F.col("nb")).alias("both"))
-        most = F.col("i") + F.col("room")
-        new = scratch.save(found.where(100 * most >= percent * (F.col("both") - most)).select("a", "b", "i"))
-        scratch.drop(pairs if fragment == 0 else alive)
-        alive = new
-    return alive
+    if few:
+        frags = frags.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("c"))), "c", "left_semi")
+    left, right = (frags.select(F.col("c").alias(x), *(F.col(f).alias(f"{f}{x}") for f in frags.columns if f not in ("c", "s"))) for x in "ab")
+    room = [sum((F.least(F.col("ka")[j], F.col("kb")[j]) for j in range(i + 1, FRAGMENTS)), F.lit(0).cast("long")) for i in range(FRAGMENTS)]
+    parts = F.array(*(F.struct(F.col(f"f{i}a").alias("x"), F.col(f"f{i}b").alias("y"), room[i].alias("room")) for i in range(FRAGMENTS)))
+    reach = lambda most: 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    # bound to a lambda's variable, an overlap is counted once; null, a pair that has gone, stays null
+    step = lambda i, f: F.element_at(F.transform(F.array(i + F.size(F.array_intersect(f.x, f.y))), lambda now: F.when(reach(now + f.room), now)), 1)
+    return pairs.join(left, "a").join(right, "b").where(F.aggregate(parts, F.lit(0).cast("long"), step).isNotNull()).select("a", "b")
 
 
 def can_reach(percent: int, x: tuple[Column, Column, Column], y: tuple[Column, Column, Column]) -> Column:
@@ -195,7 +194,7 @@ def candidates(live: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     Most pairs of a loose group of near copies are just below the threshold;
     sizes and places let them through, the sketches (c, s) hardly any.
     """
-    slim = live.select("t", "c", "n", "p", "u", "comp").join(sketches, "c")
+    slim = live.select("t", "c", "n", "p", "u", "comp").join(sketches, "c").repartition("t")  # dealt once, for all that follows
     per = slim.groupBy("t", "comp").agg(F.count("*").alias("m"))
     top = per.groupBy("t").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"))
     sides = [slim.select(*(F.col(c).alias(f"{c}{i}") for c in slim.columns)) for i in (1, 2)]
@@ -241,6 +240,7 @@ def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) ->
     for step in range(HUB_ROUNDS + 1):
         rows = live.select("t", "c", "n", "p", "u")
         rows = rows.withColumn("comp", F.col("c")) if labels is None else rows.join(labels, "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+        rows = rows.repartition("t")  # before the hubs are chosen: those of a part of a list are far wider than its rows
         # sets with few unmarked shingles stand in the middle of their group
         at = [F.struct(F.floor(10 * F.col("u") / F.col("n")), F.xxhash64("c", F.lit(step * HUBS + i))) for i in range(HUBS if step < HUB_ROUNDS else 0)]
         hubs = F.array(*(F.min_by(F.struct("c", "n", "p", "u", "comp"), x) for x in at))
@@ -251,15 +251,15 @@ def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) ->
         live = new
         pairs = live.select(F.explode("hubs").alias("x"), F.col("c").alias("y")) if step < HUB_ROUNDS else candidates(live, frags.select("c", "s"), percent)
         pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if pairs.isEmpty():  # of a hub round, this says nothing about pairs without a hub
+        n_pairs = pairs.count()
+        if n_pairs == 0:  # of a hub round, this says nothing about pairs without a hub
             scratch.drop(pairs)
             continue
-        new = verified(pairs, frags, percent, scratch)
-        merged = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
-        old = [x for x in (links, labels) if x is not None]
-        links = scratch.save(merged)
+        new = verified(pairs, frags, percent, n_pairs <= BROADCAST_ROWS)
+        old = [pairs, *(x for x in (links, labels) if x is not None)]
+        links = scratch.save(new if links is None else links.union(new))
         labels = scratch.save(components_of_few(spark, links, scratch).withColumnRenamed("id", "c"))
-        scratch.drop(new, *old)
+        scratch.drop(*old)
     scratch.drop(live, frags)
     if labels is None:
         members = members.withColumn("comp", F.col("c"))

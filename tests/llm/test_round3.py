@@ -1,7 +1,10 @@
 """What near-duplicate operators send and save."""
+
+import random
+
 import numpy as np
 
-from lattica.llm import common, pivots
+from lattica.llm import common, jaccard, pivots
 
 
 def saved_by(monkeypatch):
@@ -29,3 +32,29 @@ def test_pivots_compare_gives_a_link_once(spark, monkeypatch):
     plan, links = next((p, t) for c, p, t in saved if c == ["a", "b"])
     assert plan.startswith("MapInArrow")  # and no distinct of what each common key repeats
     assert links.count() == links.distinct().count() == near.sum() // 2
+
+
+def test_jaccard_verifies_a_round_in_one_statement(spark, monkeypatch):
+    r = random.Random(8)
+    base = [[f"w{r.randrange(200)}" for _ in range(r.randint(30, 60))] for _ in range(12)]
+    rows = []
+    for i in range(70):
+        w = list(base[i % 12])
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"e{r.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    low = list(range(70))
+    for b in range(70):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = sorted((low[a], low[b]))
+                low = [p if v == q else v for v in low]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (jaccard.BROADCAST_ROWS, 0):  # pairs that may be broadcast, and pairs that may not
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        with monkeypatch.context() as m:
+            saved = saved_by(m)
+            got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(docs).collect()}
+        assert got == dict(enumerate(low))
+        assert sum(c == ["a", "b"] for c, _, _ in saved) <= 2 * (jaccard.HUB_ROUNDS + 1) and not any(c == ["a", "b", "i"] for c, _, _ in saved)
