@@ -25,7 +25,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go; null and empty texts are scored as texts without evidence."""
     model = trained_on(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_rows(docs.select(F.struct("*").alias("row"), "text"), model).where("predicted = 0").select("row.*")
+    return score_rows(docs.select(F.struct("*").alias("row")), model, "row").where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lattica.llm.common import BROADCAST_ROWS, Scratch, components_of_few, doc_words, shingle_hashes, word_hashes
+from lattica.llm.common import BROADCAST_ROWS, Scratch, components_of_few, doc_words, pieces, shingle_hashes, word_hashes
 
 #: Shingles that repeat within a run of CHUNK of them go last in the order, the MOST_MARKED most frequent ones at most.
 CHUNK, MOST_MARKED = 1 << 22, 1 << 21
@@ -39,13 +39,6 @@ BATCH_ROWS = 500
 HUB_ROUNDS, HUBS = 2, 6
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of a few rows, so that a worker holds few sets at a time."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, c, n, h): class (a hash of the set), set size, and the set as 64-bit integers in unsigned order."""
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -15,15 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.charlm import SPACE, CharModel, blocks_of, fit, score_positions
-from lattica.llm.common import held_out
+from lattica.llm.common import held_out, pieces
 from lattica.llm.sampling import labelled_sample
 
 #: Words of a passage.
 PASSAGE = 3
+#: Characters scored at once: some 60 bytes each lie in a worker meanwhile.
+BLOCK = 1 << 18
 
 
 @dataclass
@@ -37,7 +40,7 @@ class ToxicModel:
 def differences(model: CharModel, texts: list) -> np.ndarray:
     """Per text: the largest length-normalised log likelihood difference of its passages; a text of fewer words is one passage. Without words, 0."""
     out = np.zeros(len(texts))
-    for idx, parts in blocks_of(texts, model.alphabet):
+    for idx, parts in blocks_of(texts, model.alphabet, BLOCK):
         full = [(i, p) for i, p in zip(idx, parts) if len(p) > 1]
         if not full:
             continue
@@ -88,29 +91,31 @@ def train(rows: DataFrame, labels: DataFrame, order: int = 7, most_chars: int =
     return ToxicModel(chars, float(w[0] / scale), float(w[1] - w[0] * mean / scale), prior)
 
 
-def score_rows(docs: DataFrame, model: ToxicModel) -> DataFrame:
+def scored(batches: Iterator[pa.RecordBatch], model: ToxicModel, inside: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, a few rows at a time, with `score` and `predicted`; see score_rows."""
+    for b in pieces(batches):
+        if model.chars is None:
+            p = np.full(b.num_rows, model.prior)
+        else:
+            text = b.column("text") if inside is None else pc.struct_field(b.column(inside), "text")
+            p = 1 / (1 + np.exp(-np.clip(differences(model.chars, text.to_pylist()) * model.slope + model.offset, -30, 30)))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+
+
+def score_rows(docs: DataFrame, model: ToxicModel, inside: str | None = None) -> DataFrame:
     """Every row and column of docs with `score` (0 to 1) and `predicted` (score >= 0.5).
 
     A null or empty text is scored as one without any evidence. Columns of
-    docs of these two names are replaced. An empty table gives none.
+    docs of these two names are replaced. An empty table gives none. inside:
+    the struct column that has the text, which so is sent once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train's most_chars
     docs = docs.drop("score", "predicted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            if m.chars is None:
-                p = np.full(b.num_rows, m.prior)
-            else:
-                x = differences(m.chars, b.column("text").to_pylist())
-                p = 1 / (1 + np.exp(-np.clip(x * m.slope + m.offset, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
-
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     schema = StructType([*docs.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: scored(batches, shared.value, inside), schema)
 
 
 def trained_on(docs: DataFrame, labels: DataFrame) -> ToxicModel:
