@@ -8,7 +8,8 @@ the threshold. Since shared passages stand last in the order, lists of
 documents that only quote the same passage don't arise. Sets that are equal
 form one class. Pairs with a few hubs of each list are tried first, so that large
 groups of near copies become one component by a linear number of pairs; all
-pairs across components that are then left are tried after that.
+pairs across components that are then left are tried after that. A hub leaves
+its list when it was tried, so short lists, which most are, end with their first round.
 """
 
 from __future__ import annotations
@@ -181,6 +182,12 @@ def sketches_allow(percent: int, s: Column, r: Column, both: Column) -> Column:
     return (100 + percent) * apart <= (100 - percent) * both
 
 
+def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the sketches (c, n, s) of both allow, which loses no link."""
+    left, right = (sketches.select(*(F.col(c).alias(x if c == "c" else f"{c}{x}") for c in ("c", "n", "s"))) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(sketches_allow(percent, F.col("sa"), F.col("sb"), F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def candidates(live: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list's rows across components that can be similar enough, but for those of its largest component with itself.
 
@@ -231,19 +238,24 @@ def jaccard_members(docs: DataFrame, key: str, k: int = 5, percent: int = 75) ->
     marks.destroy()
     links, labels = None, None
     for step in range(HUB_ROUNDS + 1):
-        rows = live.select("t", "c", "n", "p", "u")
+        rows = (live.where("stay") if step else live).select("t", "c", "n", "p", "u")
         rows = rows.withColumn("comp", F.col("c")) if labels is None else rows.join(labels, "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
         rows = rows.repartition("t")  # before the hubs are chosen: those of a part of a list are far wider than its rows
         # sets with few unmarked shingles stand in the middle of their group
         at = [F.struct(F.floor(10 * F.col("u") / F.col("n")), F.xxhash64("c", F.lit(step * HUBS + i))) for i in range(HUBS if step < HUB_ROUNDS else 0)]
         hubs = F.array(*(F.min_by(F.struct("c", "n", "p", "u", "comp"), x) for x in at))
-        mixed = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hubs.alias("hubs")).where("lo <> hi").select("t", "hubs")
+        mixed = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), hubs.alias("hubs")).where("lo <> hi").select("t", "hubs", "m")
         near = F.filter("hubs", lambda h: (h.comp != F.col("comp")) & can_reach(percent, (F.col("n"), F.col("p"), F.col("u")), (h.n, h.p, h.u)))["c"]
-        new = scratch.save(rows.join(mixed, "t").withColumn("hubs", near if step < HUB_ROUNDS else F.lit(None)))  # only lists with several components go on
+        # a hub is tried with all of its list now, so later rounds need pairs without it only
+        stay = ~F.array_contains(F.col("hubs")["c"], F.col("c")) & (F.col("m") - F.size(F.array_distinct(F.col("hubs")["c"])) > 1)
+        rows = rows.join(mixed, "t").withColumn("stay", stay if step < HUB_ROUNDS else F.lit(True)).drop("m")
+        new = scratch.save(rows.withColumn("hubs", near if step < HUB_ROUNDS else F.lit(None)))  # only lists with several components go on
         scratch.drop(live)
         live = new
         pairs = live.select(F.explode("hubs").alias("x"), F.col("c").alias("y")) if step < HUB_ROUNDS else candidates(live, frags.select("c", "s"), percent)
-        pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        # most share a shingle by chance: their sketches tell, and their sets needn't be sent
+        pairs = scratch.save(alike(pairs, frags.select("c", "n", "s"), percent) if step < HUB_ROUNDS else pairs)
         n_pairs = pairs.count()
         if n_pairs == 0:  # of a hub round, this says nothing about pairs without a hub
             scratch.drop(pairs)

@@ -58,3 +58,24 @@ def test_jaccard_verifies_a_round_in_one_statement(spark, monkeypatch):
             got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(docs).collect()}
         assert got == dict(enumerate(low))
         assert sum(c == ["a", "b"] for c, _, _ in saved) <= 2 * (jaccard.HUB_ROUNDS + 1) and not any(c == ["a", "b", "i"] for c, _, _ in saved)
+
+
+def test_jaccard_tries_a_pair_of_chance_once(spark, monkeypatch):
+    r = random.Random(9)
+    rows = []
+    for i in range(0, 80, 2):  # two texts share a passage, and now and then a text has a near copy
+        passage = [f"p{i}x{k}" for k in range(14)]
+        rows += [(i + j, " ".join([f"w{i + j}x{k}" for k in range(r.randint(40, 50))] + passage)) for j in (0, 1)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 80, 9)]
+    monkeypatch.setattr(jaccard, "shared_marks", lambda sets, scratch: np.zeros(1 << (jaccard.MAP_BITS - 3), np.uint8))  # as if the two stood in different runs
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (jaccard.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        with monkeypatch.context() as m:
+            saved = saved_by(m)
+            got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(docs).collect()}
+        assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+        lists = [t for c, _, t in saved if "hubs" in c]
+        pairs = [t.count() for c, _, t in saved if c == ["a", "b"]]
+        assert lists[0].count() > 0 and all(t.count() == 0 for t in lists[1:])  # all of their rows were hubs
+        assert pairs == [9, 9, 0, 0]  # those that sketches allow, and the links; then no list is left
