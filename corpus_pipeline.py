@@ -44,6 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
     found = leaking_texts(docs.select("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("key").distinct()
+    found = Scratch(spark, "leaks").save(found)  # counted and joined, but found once
     return small_join(docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("key")), found, ["key"], "left_anti").select("row.*")
 
 

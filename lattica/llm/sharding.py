@@ -14,12 +14,16 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lattica.llm.common import Scratch, id_hash, small_join
+from lattica.llm.common import Scratch, id_hash, local_table, release, small_join
 
 VALUE_BITS, CRC_BITS, ID_BITS = 30, 32, 48
 #: Rows of a run of slots; runs are numbered side by side.
 RUN_ROWS = 4096
+#: A node that is being cut, and how: dim, and what holds the cut so far, up to goal bytes; in the end the cut itself.
+GOING = StructType().add("node", "integer").add("dim", "integer").add("key_low", "long").add("id_low", "long").add("goal", "double")
+CUTS = StructType().add("node", "integer").add("dim", "integer").add("key_cut", "long").add("id_cut", "long").add("left_parts", "integer")
 
 
 def default_dimensions() -> dict[str, Column]:
@@ -95,10 +99,10 @@ def median_cuts(spark: SparkSession, tree: DataFrame, names: list[str], parts: d
         state[r["node"]] = {"dim": widths.index(max(widths)), "want": r["total"] * (m // 2) / m, "below": 0, "key_low": 0, "id_low": 0, "done": False}
     passes = [("key", s) for s in (47, 32, 16, 0)] + [("id", s) for s in (32, 16, 0)]
     for what, shift in passes:
-        going = [(n, s["dim"], s["key_low"], s["id_low"]) for n, s in state.items() if not s["done"]]
+        going = [(n, s["dim"], s["key_low"], s["id_low"], float(s["want"] - s["below"])) for n, s in state.items() if not s["done"]]
         if not going:
             break
-        nodes = F.broadcast(spark.createDataFrame(going, "node int, dim int, key_low long, id_low long"))
+        nodes = F.broadcast(local_table(spark, going, GOING))
         rows = tree.join(nodes, "node").withColumn("key", chosen(names))
         if what == "key":
             above = {47: 62, 32: 47, 16: 32, 0: 16}[shift]
@@ -106,10 +110,9 @@ def median_cuts(spark: SparkSession, tree: DataFrame, names: list[str], parts: d
         else:
             above = {32: 48, 16: 32, 0: 16}[shift]
             rows = rows.where((F.col("key") == F.col("key_low")) & (F.shiftright("idh", above) == F.shiftright("id_low", above))).withColumn("bucket", F.shiftright("idh", shift))
-        sums = rows.groupBy("node", "bucket").agg(F.sum("size").alias("n"))
+        sums = rows.groupBy("node", "goal", "bucket").agg(F.sum("size").alias("n"))
         sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("node").orderBy("bucket")))
-        goals = F.broadcast(spark.createDataFrame([(n, float(state[n]["want"] - state[n]["below"])) for n, *_ in going], "node int, goal double"))
-        cut = sums.join(goals, "node").where(F.col("upto") >= F.col("goal")).groupBy("node").agg(F.min(F.struct("bucket", "upto", "n")).alias("c"))
+        cut = sums.where(F.col("upto") >= F.col("goal")).groupBy("node").agg(F.min(F.struct("bucket", "upto", "n")).alias("c"))
         for r in cut.collect():
             s, (bucket, upto, n) = state[r["node"]], r["c"]
             goal = s["want"] - s["below"]
@@ -120,8 +123,9 @@ def median_cuts(spark: SparkSession, tree: DataFrame, names: list[str], parts: d
                 s["done"] = True
                 if goal - (upto - n) > n / 2:  # the whole bucket goes left
                     s[f"{what}_low"] = (bucket + 1) << shift
+        release(spark)
     cuts = [(n, s["dim"], s["key_low"], s["id_low"], parts[n] // 2) for n, s in state.items()]
-    return spark.createDataFrame(cuts, "node int, dim int, key_cut long, id_cut long, left_parts int")
+    return local_table(spark, cuts, CUTS)
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
