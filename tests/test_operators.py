@@ -1,5 +1,7 @@
 """Operators that SQL can't express, edge cases, and readers and writers."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,38 @@ def test_levels_and_selection(spark):
     with pytest.raises(ValueError):
         context.split_budget(100, 0.7, 0.5)
     assert context.split_budget(12000, 0.1, 0.5) == {"community": 1200, "text": 6000, "local": 4800}
+
+
+def folded(costs, budget, most=None):
+    """Batches one row after another, as the SQL has it."""
+    batch, n, spent, out = 0, 0, 0.0, []
+    for c in costs:
+        c = float("nan") if c is None else float(c)
+        over = n > 0 and ((most is not None and n + 1 > most) or spent + c > budget)
+        batch, n, spent = (batch + 1, 1, c) if over else (batch, n + 1, spent + c)
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_batches_of_ranges_are_those_of_one_fold(spark, most):
+    r = np.random.default_rng(5)
+    kinds = {"a": r.integers(0, 9, 400), "b": np.where(r.random(300) < 0.7, 0, r.integers(0, 60, 300)), "c": [3, None, 4, 50, 2, 1, 9, 9], "d": [0, 40, 0, 0, 25], "e": r.integers(-5, 9, 60), None: [20, 20, 3]}
+    rows = [(g, i, None if c is None else int(c)) for g, costs in kinds.items() for i, c in enumerate(costs)]
+    df = spark.createDataFrame(rows, "g string, i int, c int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        found = context.next_fit(df, "g", ["i"], "c", 20) if most is None else context.embedding_batches(df, "g", "i", "c", most, 20)
+        got = {(x.g, x.i): x.batch for x in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {(g, i): b for g, costs in kinds.items() for i, b in enumerate(folded(costs, 20, most))}
+
+
+def test_a_large_group_is_packed_in_time(spark):
+    df = spark.range(150_000).select(F.lit("g").alias("g"), "id", (F.col("id") % 7).alias("c"))
+    start = time.monotonic()
+    batches = context.next_fit(df, "g", ["id"], "c", 20).agg(F.max("batch")).first()[0]
+    assert batches == folded((i % 7 for i in range(150_000)), 20)[-1] and time.monotonic() - start < 40
