@@ -48,7 +48,7 @@ def _(t):
 
 @query("md5_ids", "SELECT doc_id, md5(coalesce(source, '') || coalesce(text, '')) AS id, row_number() OVER (ORDER BY n_chars, doc_id) AS n FROM documents")
 def _(t):
-    d = r.gen_id(t("documents"), ["source", "text"])
+    d = r.gen_id(t("documents"), ["source", "text"]).select("doc_id", "id", "n_chars")
     return r.gen_index(d, [F.col("n_chars"), F.col("doc_id")], "n").select("doc_id", "id", "n")
 
 

@@ -173,3 +173,22 @@ def test_a_large_group_is_packed_in_time(spark):
     start = time.monotonic()
     batches = context.next_fit(df, "g", ["id"], "c", 20).agg(F.max("batch")).first()[0]
     assert batches == folded((i % 7 for i in range(150_000)), 20)[-1] and time.monotonic() - start < 40
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Exchanges are merged by size, so that narrow and wide ones of the same rows are cut at other places."""
+    how = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in how}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_index_numbers_wide_rows_in_order(spark, small_ranges):
+    df = spark.range(4000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("n"), "id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.md5((i + F.col("id")).cast("string"))), "").alias("text"))
+    got = [(r.n, r.id) for r in relational.gen_index(df, [F.col("n"), F.col("id")], "at").orderBy("at").collect()]
+    assert len(got) == 4000 and got == sorted(got)
+    assert {r["at"] for r in relational.gen_index(df, [F.col("n"), F.col("id")], "at").select("at").collect()} == set(range(1, 4001))
