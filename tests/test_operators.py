@@ -192,3 +192,12 @@ def test_index_numbers_wide_rows_in_order(spark, small_ranges):
     got = [(r.n, r.id) for r in relational.gen_index(df, [F.col("n"), F.col("id")], "at").orderBy("at").collect()]
     assert len(got) == 4000 and got == sorted(got)
     assert {r["at"] for r in relational.gen_index(df, [F.col("n"), F.col("id")], "at").select("at").collect()} == set(range(1, 4001))
+
+
+def test_quantiles_are_exact_over_ranges(spark, small_ranges):
+    v = np.random.default_rng(3).normal(size=5001).round(2).tolist()
+    df = spark.createDataFrame([(x,) for x in [*v, None, None]], "v double")
+    got = relational.quantiles(df, "v", [0.0, 0.3, 0.5, 0.777, 1.0])
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()  # it gathers all values in one task
+    assert np.allclose(list(got.first()), np.quantile(v, [0.0, 0.3, 0.5, 0.777, 1.0]), atol=1e-12)
+    assert list(relational.quantiles(df.where("v is null"), "v", [0.5]).first()) == [None]
