@@ -201,3 +201,46 @@ def test_quantiles_are_exact_over_ranges(spark, small_ranges):
     assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()  # it gathers all values in one task
     assert np.allclose(list(got.first()), np.quantile(v, [0.0, 0.3, 0.5, 0.777, 1.0]), atol=1e-12)
     assert list(relational.quantiles(df.where("v is null"), "v", [0.5]).first()) == [None]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip", "l1"])
+def test_blocks_of_queries_meet_ties_zeros_and_nans_in_one_plan(spark, monkeypatch, metric):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(150, 6)).round(1)
+    x[40:90], x[7], x[11] = x[3], 0.0, np.nan
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    monkeypatch.setattr(vector, "BLOCK", 40)
+    monkeypatch.setattr(vector, "TILE", (16, 32))
+    found = vector.knn(base, base.withColumnRenamed("id", "qid"), 9, metric)
+    assert "Union" not in plan(found)
+    down = metric in vector.SIMILARITIES
+    for q, rows in enumerate(np.array_split(np.array([r.id for r in found.orderBy("qid", "rank").collect()]), 150)):
+        with np.errstate(invalid="ignore"):
+            s = ((x - x[q]) ** 2).sum(1) if metric == "l2" else np.abs(x - x[q]).sum(1) if metric == "l1" else (x * x[q]).sum(1)
+            s = s / (np.sqrt((x * x).sum(1)) * np.sqrt((x[q] * x[q]).sum())) if metric == "cosine" else s
+        assert rows.tolist() == np.lexsort((np.arange(150), np.where(np.isnan(s), np.inf, -s if down else s)))[:9].tolist(), q
+
+
+def test_a_task_sends_no_more_than_the_cap(spark):
+    base = vectors(spark, 300)
+    found = vector._around(base, base.withColumnRenamed("id", "qid"), 1e6, "l2", 21)
+    assert found.count() <= 21 * base.rdd.getNumPartitions()
+    q = base.withColumnRenamed("id", "qid")
+    every = sorted(r.score for r in vector.within_radius(base, q, 30.0).collect())
+    got = sorted(r.score for r in vector.within_radius_capped(base, q, 30.0, 310).collect())
+    assert len(got) == 310 and got == every[:310]
+    assert vector.within_radius_capped(base, q, 30.0, 20).count() == 0 and vector.within_radius_capped(base, q, 1e-9, 300).count() == 300
+
+
+def test_hamming_sends_k_rows_a_query_and_task(spark):
+    codes = spark.range(500).select("id", F.xxhash64("id").alias("code"))
+    found = vector.hamming_knn(codes, codes.where("id < 20").withColumnRenamed("id", "qid"), 4)
+    assert "NestedLoopJoin" not in plan(found) and "CartesianProduct" not in plan(found)
+    code = {r.id: r.code for r in codes.collect()}
+    want = {(q, i, d, n + 1) for q in range(20) for n, (d, i) in enumerate(sorted((((code[q] ^ code[i]) & (2**64 - 1)).bit_count(), i) for i in code)[:4])}
+    assert {(r.qid, r.id, r.distance, r["rank"]) for r in found.collect()} == want
