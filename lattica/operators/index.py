@@ -7,26 +7,46 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.relational import hash_order
-from lattica.operators.vector import DISTANCES, assign, centroids, distance, knn, normalised
+from lattica.operators.vector import _matrix, _scores, assign, centroids, distance, knn, normalised
 from lattica.sources.tables import saved
 
 
 def kmeans(base: DataFrame, k: int, rounds: int = 25, seed: int = 1234, weight: str | None = None) -> DataFrame:
     """(centroid, embedding) of k cells: seeded hash order picks the first centres, then means until nothing moves or rounds are over.
 
-    k centres are a broadcast table; sums per component are the only shuffle.
+    k centres go with the tasks; each sends its sums by centre and component.
     """
     rows = base.where("embedding is not null").select("id", "embedding", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     first = rows.orderBy(hash_order("id", seed), "id").limit(k)
     centres = saved(first.select((F.row_number().over(Window.orderBy("id")) - 1).alias("centroid"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))  # k rows
     for _ in range(rounds):
-        of = assign(rows, centres)
-        parts = rows.join(of, "id").select("centroid", "w", F.posexplode("embedding").alias("p", "x"))
-        means = parts.groupBy("centroid", "p").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("x"))
+        few = centres.orderBy("centroid").toPandas()
+        names, c = few["centroid"].to_numpy(), np.array(few["embedding"].tolist(), np.float64)
+
+        def sums(frames, names=names, c=c):
+            total, weights = np.zeros(c.shape), np.zeros(len(c))
+            for f in frames:
+                for lo in range(0, len(f), 2048):
+                    part = f.slice(lo, 2048)
+                    x, w = _matrix(part.column("embedding")).astype(np.float64), part.column("w").to_numpy(zero_copy_only=False)
+                    s = _scores(c, x, "l2", 3.0)
+                    of = np.where(np.isnan(s), np.inf, s).argmin(0)
+                    for j in np.unique(of):
+                        total[j] += (w[of == j, None] * x[of == j]).sum(0)
+                        weights[j] += w[of == j].sum()
+            at = np.repeat(np.flatnonzero(weights), c.shape[1])
+            p = np.tile(np.arange(c.shape[1]), len(at) // max(1, c.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names[at], pa.int32()), pa.array(p, pa.int32()), pa.array(total[at, p]), pa.array(weights[at])], ["centroid", "p", "x", "w"])
+
+        if not len(few):
+            return centres
+        parts = rows.where("size(embedding) > 0").select("embedding", "w").mapInArrow(sums, "centroid int, p int, x double, w double")
+        means = parts.groupBy("centroid", "p").agg((F.sum("x") / F.sum("w")).alias("x"))
         new = means.groupBy("centroid").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s.x).alias("embedding"))
         new = saved(new.unionByName(centres.join(new, "centroid", "left_anti")))  # an empty cell keeps its centre
         moved = new.join(centres.withColumnRenamed("embedding", "o"), "centroid").agg(F.max(distance("embedding", "o"))).first()[0]
@@ -56,9 +76,8 @@ def ivf_search(base: DataFrame, centres: DataFrame, queries: DataFrame, k: int,
     """(qid, id, score, rank) by L2 among the nprobe nearest cells of each query."""
     cells = base if "cell" in base.columns else ivf_cells(base, centres)
     probes = knn(centres.select(F.col("centroid").cast("long").alias("id"), "embedding"), queries, nprobe).select("qid", F.col("id").alias("cell"))
-    near = cells.where("embedding is not null").join(probes.join(queries.select("qid", F.col("embedding").alias("q")), "qid"), "cell")
-    scored = near.select("qid", "id", distance("embedding", "q").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))).where(F.col("rank") <= k)
+    asked = queries.join(probes.groupBy("qid").agg(F.sort_array(F.collect_list(F.col("cell").cast("long"))).alias("keys")), "qid")
+    return knn(cells.select("id", "embedding", F.array(F.col("cell").cast("long")).alias("keys")), asked.select("qid", "embedding", "keys"), k)
 
 
 def pq_train(base: DataFrame, parts: int, codes: int = 16, rounds: int = 5, sample: int = 10_000) -> np.ndarray:
@@ -94,13 +113,18 @@ def pq_encode(base: DataFrame, books: np.ndarray) -> DataFrame:
 
 def pq_search(base: DataFrame, books: np.ndarray, queries: DataFrame, k: int, refine: int = 1) -> DataFrame:
     """(qid, id, score, rank): k * refine nearest by summed table distances of codes, ranked again by exact L2."""
-    def decode(f_iter):
-        for f in f_iter:
-            if len(f):
-                codes = np.array(f["codes"].tolist())
-                yield pd.DataFrame({"id": f["id"], "embedding": list(np.concatenate([books[j][codes[:, j]] for j in range(len(books))], 1))})
+    shared = base.sparkSession.sparkContext.broadcast(books)
 
-    coded = pq_encode(base, books).mapInPandas(decode, "id long, embedding array<double>")
+    def decoded(frames):
+        b = shared.value
+        for f in frames:
+            for lo in range(0, len(f), 2048):
+                part = f.slice(lo, 2048)
+                x = np.split(_matrix(part.column("embedding")).astype(np.float64), len(b), axis=1)
+                flat = np.concatenate([c[((p[:, None] - c[None]) ** 2).sum(2).argmin(1)] for p, c in zip(x, b)], 1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * flat.shape[1], flat.ravel())], ["id", "embedding"])
+
+    coded = base.where("embedding is not null and size(embedding) > 0").select("id", "embedding").mapInArrow(decoded, "id long, embedding array<double>")
     first = knn(coded, queries, k * refine).select("qid", "id")
     exact = first.join(base.select("id", "embedding"), "id").join(queries.select("qid", F.col("embedding").alias("q")), "qid").select("qid", "id", distance("embedding", "q").alias("score"))
     return exact.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))).where(F.col("rank") <= k)
@@ -113,20 +137,19 @@ def lsh_search(base: DataFrame, queries: DataFrame, k: int, bits: int = 8, table
         return knn(base, queries, k, "cosine")
     planes = np.random.default_rng(seed).normal(size=(tables, bits, d["d"]))
 
-    def keyed(name: str):
+    def keyed(df: DataFrame, name: str) -> DataFrame:
         def run(frames):
             for f in frames:
-                if len(f):
-                    s = np.einsum("tbd,nd->ntb", planes, np.array(f["embedding"].tolist(), np.float64)) > 0
+                for lo in range(0, len(f), 2048):
+                    part = f.slice(lo, 2048)
+                    s = np.einsum("tbd,nd->ntb", planes, _matrix(part.column("embedding")).astype(np.float64)) > 0
                     codes = (s * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
-                    yield pd.DataFrame({name: f[name], "key": list(codes)})
-        return run
-
-    a = base.where("embedding is not null").select("id", "embedding").mapInPandas(keyed("id"), "id long, key array<long>").select("id", F.explode("key").alias("key"))
-    b = queries.select("qid", "embedding").mapInPandas(keyed("qid"), "qid long, key array<long>").select("qid", F.explode("key").alias("key"))
-    pairs = a.join(b, "key").select("qid", "id").distinct()
-    scored = pairs.join(base.select("id", "embedding"), "id").join(queries.select("qid", F.col("embedding").alias("q")), "qid").select("qid", "id", DISTANCES["cosine"](F.col("embedding"), F.col("q")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+                    yield pa.RecordBatch.from_arrays([part.column(name), part.column("embedding"), pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * tables, codes.astype(np.int64).ravel())], [name, "embedding", "keys"])
+
+        rows = df.where("embedding is not null and size(embedding) > 0").select(F.col(name).cast("long").alias(name), "embedding")
+        return rows.mapInArrow(run, f"{name} long, embedding {df.schema['embedding'].dataType.simpleString()}, keys array<long>")
+
+    return knn(keyed(base, "id"), keyed(queries, "qid"), k, "cosine")
 
 
 def diverse(candidates: DataFrame, most: int) -> DataFrame:

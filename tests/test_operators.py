@@ -244,3 +244,40 @@ def test_hamming_sends_k_rows_a_query_and_task(spark):
     code = {r.id: r.code for r in codes.collect()}
     want = {(q, i, d, n + 1) for q in range(20) for n, (d, i) in enumerate(sorted((((code[q] ^ code[i]) & (2**64 - 1)).bit_count(), i) for i in code)[:4])}
     assert {(r.qid, r.id, r.distance, r["rank"]) for r in found.collect()} == want
+
+
+def test_index_searches_send_no_pairs(spark):
+    base = vectors(spark, 300)
+    q = base.where("id < 10").withColumnRenamed("id", "qid")
+    x = np.array([r.embedding for r in base.orderBy("id").collect()])
+    planes = np.random.default_rng(1).normal(size=(4, 8, 8))
+    keys = (np.einsum("tbd,nd->ntb", planes, x) > 0).tolist()
+    found = index.lsh_search(base, q, 5)
+    assert "Join" not in plan(found)  # pairs of a bucket were joined before they were scored
+    s = (x @ x.T) / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(10):
+        near = [j for j in range(300) if any(a == b for a, b in zip(keys[i], keys[j]))]
+        assert [r.id for r in found.where(F.col("qid") == i).orderBy("rank").collect()] == sorted(near, key=lambda j: (-s[i, j], j))[:5]
+    cells = spark.createDataFrame([(i, x[i * 40].tolist()) for i in range(7)], "centroid int, embedding array<double>")
+    d = ((x[:, None] - x[None, :280:40]) ** 2).sum(2)
+    got = index.ivf_search(base, cells, q, 5, nprobe=2)
+    for i in range(10):
+        near = [j for j in range(300) if d[j].argmin() in d[i].argsort()[:2]]
+        assert [r.id for r in got.where(F.col("qid") == i).orderBy("rank").collect()] == sorted(near, key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5]
+    books = index.pq_train(base, 4)
+    assert plan(index.pq_search(base, books, q, 5, 3)).count("MapInPandas") == 0
+
+
+def test_kmeans_moves_centres_without_a_row_per_component(spark, monkeypatch):
+    base, seen = vectors(spark, 200, d=4), []
+    keep = index.saved
+    monkeypatch.setattr(index, "saved", lambda df: seen.append(plan(df)) or keep(df))
+    got = {r.centroid: r.embedding for r in index.kmeans(base, 3, rounds=2).collect()}
+    assert len(got) == 3 and not any("posexplode" in p for p in seen)
+    x = np.array([r.embedding for r in base.orderBy("id").collect()])
+    first = sorted(r.id for r in relational.sample_rows(base, 3, "id", 1234).collect())
+    c = x[first]
+    for _ in range(2):
+        of = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.stack([x[of == j].mean(0) for j in range(3)])
+    assert np.allclose([got[j] for j in range(3)], c)
